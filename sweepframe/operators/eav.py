@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import strip, with_parameter
-from ..functions.values import TYPES, cell, typed_cell
+from ..functions.values import TYPES, cell, with_cell
 from ..session import bounded_rows
 
 #: Input rows per ordinal range, and entities assembled into one batch.
@@ -38,9 +38,7 @@ def typed_cells(df: DataFrame, types: DataFrame, aliases: DataFrame, entity: str
         rows = rows.withColumn("value_type", F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[F.col("parameter")])
     else:
         rows = rows.join(types.select("parameter", "value_type").dropDuplicates(["parameter"]), "parameter")
-    kind = F.col("value_type")
-    raw = F.when(kind == "double", TYPES["double"][0](F.col("_v")).cast("string")).otherwise(typed_cell(F.col("_v"), kind))
-    return rows.select("entity", "parameter", "value_type", typed_cell(F.col("_v"), kind).alias("cell"), raw.alias("raw")).where("cell is not null")
+    return with_cell(rows.select("entity", "parameter", "value_type", "_v"), "_v", "value_type").where("cell is not null")
 
 
 def _assemble(batches: Iterator[pa.RecordBatch], names: list[str], kinds: dict[str, str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -91,7 +89,7 @@ def widen(cells: DataFrame, kinds: dict[str, str], rows: int) -> tuple[DataFrame
     spread = least.select(block, "entity", "parameter", F.col("_min.raw").alias("raw")).repartition("_block").sortWithinPartitions("_block", "entity")
     out = {n: n + "_value" if n.lower() in ("entity", "ordinal") else n for n in names}
     schema = pa.schema([("entity", pa.string()), ("ordinal", pa.int64()), *[(out[n], ARROW[kinds[n]]) for n in names]])
-    ddl = ", ".join(["entity string", "ordinal bigint", *[f"`{out[n]}` {TYPES[kinds[n]][1]}" for n in names]])
+    ddl = ", ".join(["entity string", "ordinal bigint", *[f"`{out[n]}` {TYPES[kinds[n]]}" for n in names]])
     if not names:
         return spark.createDataFrame([], ddl), cells.select("entity", "parameter", "cell").limit(0)
     wide = spread.mapInArrow(lambda it: _assemble(it, names, kinds, schema), ddl)

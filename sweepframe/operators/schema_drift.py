@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import canonical_names, name_key, strip
-from ..functions.values import TYPES
+from ..functions.values import parsed
 from ..functions.stage import staged
 from ..sources.headers import body, pairs, type_tag, unquote
 from .ordered import CHUNK_ROWS, previous
@@ -96,7 +96,7 @@ def unified(files: DataFrame, kinds: dict[str, str], keep: list[str]) -> DataFra
 
     field = {p: raw(p) for p in kinds}
     files = staged(files, **{f"_raw_{p}": field[p] for p in kinds})
-    files = staged(files, **{f"_canonical_{p}": F.when(~F.col(f"_raw_{p}").startswith("["), TYPES[k][0](unquote(F.col(f"_raw_{p}")))) for p, k in kinds.items()})
+    files = staged(files, **{f"_canonical_{p}": F.when(~F.col(f"_raw_{p}").startswith("["), parsed(strip(unquote(F.col(f"_raw_{p}"))), k)) for p, k in kinds.items()})
     field, canonical = {p: F.col(f"_raw_{p}") for p in kinds}, {p: F.col(f"_canonical_{p}") for p in kinds}
     branches = [F.when(canonical[p].isNull() & (type_tag(field[p]) == t), unquote(field[p])).alias(f"{p}__{t}") for p, t in seen if p in kinds and t != tag_of[kinds[p]]]
     return files.select(*keep, *[c.alias(p if p not in keep else f"{p}_value") for p, c in canonical.items()], *branches)
