@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import CHUNK, CHUNK_ROWS, chunked, previous
+from .ordered import CHUNK, CHUNK_ROWS, _same, chunked, previous
 
 
 class IntervalMap:
@@ -86,13 +86,13 @@ def _stitch(parts: DataFrame, target: int) -> DataFrame:
     before = Window.partitionBy("entity").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     ends = ends.select("entity", CHUNK, F.max("_top").over(before).alias("_carry"))
     w = Window.partitionBy("entity", CHUNK).orderBy("range_start")
-    rows = parts.join(ends, [F.col("entity").eqNullSafe(ends.entity), parts[CHUNK] == ends[CHUNK]]).select(parts["*"], "_carry")
+    rows = parts.alias("p").join(ends.alias("e"), _same("p", "e", ["entity", CHUNK])).select("p.*", "_carry")
     reach = F.greatest(F.col("_carry"), F.lag("range_end").over(w))
     rows = rows.withColumn("_new", F.when(reach.isNull() | (F.col("range_start") > reach + 1), 1).otherwise(0))
     news = rows.groupBy("entity", CHUNK).agg(F.sum("_new").alias("_n"))
     news = news.select("entity", CHUNK, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     inside = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("_inside", inside).alias("r").join(news.alias("n"), F.col("r.entity").eqNullSafe(F.col("n.entity")) & (F.col(f"r.{CHUNK}") == F.col(f"n.{CHUNK}")))
+    rows = rows.withColumn("_inside", inside).alias("r").join(news.alias("n"), _same("r", "n", ["entity", CHUNK]))
     islands = rows.groupBy(F.col("r.entity").alias("entity"), (F.col("_inside") + F.col("_first")).alias("_island")).agg(F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end"))
     both = previous(islands.select("entity", "range_start", "range_end"), ["entity"], ["range_start"], ["range_end"], "_before", target)
     period = F.struct(F.lit("period").alias("kind"), "range_start", "range_end")
