@@ -90,3 +90,18 @@ def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[s
     joined = rows.alias("r").join(carry.alias("c"), _same("r", "c", [*keys, CHUNK]), "left")
     total = [(F.col(f"r.{n}") + F.coalesce(F.col(f"c._c{t}"), F.lit(0))).alias(n) for n, t in zip(values, temp)]
     return joined.select(*[f"r.{n}" for n in df.columns], *total)
+
+
+def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, target: int = CHUNK_ROWS) -> DataFrame:
+    """Add out: the last non-null value at or before the row, by order within keys (an as-of lookup after a union)."""
+    c = chunked(df, keys, order[0], target)
+    w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = c.rows.withColumn(out, F.last(value, ignorenulls=True).over(w))
+    if c.hot is None:
+        return rows.drop(CHUNK)
+    known = F.when(F.col(value).isNotNull(), F.struct(*order))
+    last = c.rows.groupBy(*keys, CHUNK).agg(F.max_by(value, known).alias("_last"))
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.select(*keys, CHUNK, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    joined = rows.alias("r").join(carry.alias("c"), _same("r", "c", [*keys, CHUNK]), "left")
+    return joined.select(*[f"r.{n}" for n in df.columns], F.coalesce(F.col(f"r.{out}"), F.col("c._carry")).alias(out))
