@@ -76,22 +76,31 @@ def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
     return joined.select(*[f"r.{n}" for n in df.columns], F.coalesce(F.col(f"r.{out}"), F.col("c._carry")).alias(out))
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], target: int = CHUNK_ROWS) -> DataFrame:
-    """Add running sums (current row included) of values by order within keys, one column per entry."""
+def _running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], target: int, fold, join) -> DataFrame:
     temp = {f"_v{i}": v for i, v in enumerate(values.values())}
     c = chunked(df.withColumns(temp), keys, order[0], target)
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = c.rows.withColumns({n: F.sum(t).over(w) for n, t in zip(values, temp)})
+    rows = c.rows.withColumns({n: fold(t).over(w) for n, t in zip(values, temp)})
     if c.hot is None:
         return rows.drop(CHUNK, *temp)
-    sums = c.rows.groupBy(*keys, CHUNK).agg(*[F.sum(t).alias(t) for t in temp])
+    parts = c.rows.groupBy(*keys, CHUNK).agg(*[fold(t).alias(t) for t in temp])
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = sums.select(*keys, CHUNK, *[F.sum(t).over(before).alias(f"_c{t}") for t in temp]).where(F.col(CHUNK) > 0)
+    carry = parts.select(*keys, CHUNK, *[fold(t).over(before).alias(f"_c{t}") for t in temp]).where(F.col(CHUNK) > 0)
     joined = rows.alias("r").join(carry.alias("c"), _same("r", "c", [*keys, CHUNK]), "left")
-    total = [(F.col(f"r.{n}") + F.coalesce(F.col(f"c._c{t}"), F.lit(0))).alias(n) for n, t in zip(values, temp)]
+    total = [F.coalesce(join(F.col(f"r.{n}"), F.col(f"c._c{t}")), F.col(f"r.{n}"), F.col(f"c._c{t}")).alias(n) for n, t in zip(values, temp)]
     return joined.select(*[f"r.{n}" for n in df.columns], *total)
 
 
+def running_sum(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], target: int = CHUNK_ROWS) -> DataFrame:
+    """Add running sums (current row included) of values by order within keys, one column per entry."""
+    return _running(df, keys, order, values, target, F.sum, lambda a, b: a + b)
+
+
+def running_max(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], target: int = CHUNK_ROWS) -> DataFrame:
+    """Add running maxima (current row included) of values by order within keys, one column per entry."""
+    return _running(df, keys, order, values, target, F.max, F.greatest)
+
+
 def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, target: int = CHUNK_ROWS) -> DataFrame:
     """Add out: the last non-null value at or before the row, by order within keys (an as-of lookup after a union)."""
     c = chunked(df, keys, order[0], target)

@@ -139,3 +139,21 @@ def systematic_resample(df: DataFrame, keys: list[str], order: str, weight: str,
     j = run.alias("r").join(total.alias("t"), [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys])
     scaled = lambda c: F.floor(F.round(c / F.col("t._t") * draws, 6))
     return j.select("r.*", (scaled(F.col("r._c")) - scaled(F.col("r._c") - F.col("r._w"))).cast("bigint").alias("copies")).select(*keys, order, "copies")
+
+
+def ess(weight: str) -> Column:
+    """Effective sample size of weights."""
+    return F.pow(F.sum(weight), 2) / F.sum(F.col(weight) * F.col(weight))
+
+
+def next_tolerance(df: DataFrame, keys: list[str], distance: str, weight: str, alpha: float) -> DataFrame:
+    """(keys, epsilon, ess): the least tolerance that keeps the effective sample size at alpha times its present value.
+
+    The sample size within a tolerance follows from running sums of weights and squared weights over distinct distances,
+    so the tolerance is found in one pass and not by bisection.
+    """
+    p = df.where(F.col(distance).isNotNull() & (F.col(weight) > 0)).groupBy(*keys, F.col(distance).cast("double").alias("x")).agg(F.sum(weight).alias("_w"), F.sum(F.col(weight) * F.col(weight)).alias("_q"))
+    run = running_sum(p, keys, ["x"], {"_cw": F.col("_w"), "_cq": F.col("_q")})
+    full = p.groupBy(*keys).agg((F.pow(F.sum("_w"), 2) / F.sum("_q")).alias("_full"))
+    j = run.join(full, keys).withColumn("ess", F.pow("_cw", 2) / F.col("_cq")).where(F.col("ess") >= alpha * F.col("_full"))
+    return j.groupBy(*keys).agg(F.min(F.struct("x", "ess")).alias("b")).select(*keys, F.col("b.x").alias("epsilon"), F.col("b.ess").alias("ess"))
