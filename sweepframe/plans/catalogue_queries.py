@@ -9,7 +9,6 @@ from ..operators import grid as G
 from .registry import Registry, table
 
 R = Registry()
-SRC, DST = F.col("dep_path").alias("src"), F.col("path").alias("dst")
 
 
 @R.query("SELECT path FROM expt_data WHERE step = 'network' AND path IS NOT NULL AND ((parameter = 'net_type' AND value = 'er') OR (parameter = 'm' AND value = '5')) GROUP BY path HAVING count(DISTINCT parameter) = 2")
@@ -47,7 +46,7 @@ def stale_targets(spark, d):
 def purge_closure(spark, d):
     """Everything that must go with the purged files: their transitive dependants."""
     seeds = table(spark, d, "expt_md5").where("purged_at is not null").select(F.col("path").alias("node"))
-    return C.closure(table(spark, d, "expt_dependencies").select(SRC, DST), seeds).select(F.col("node").alias("path"))
+    return C.closure(table(spark, d, "expt_dependencies").select(F.col("dep_path").alias("src"), F.col("path").alias("dst")), seeds).select(F.col("node").alias("path"))
 
 
 @R.query("""WITH RECURSIVE e AS (SELECT DISTINCT split_part(dep_path, '/', 2) AS src, split_part(path, '/', 2) AS dst FROM expt_dependencies WHERE regexp_matches(path, '^[a-z0-9-]+/[a-z-]+/[0-9a-f]+[.][a-z0-9.]+$') AND regexp_matches(dep_path, '^[a-z0-9-]+/[a-z-]+/[0-9a-f]+[.][a-z0-9.]+$')),
