@@ -103,7 +103,7 @@ def lineages(df: DataFrame, keys: list[str], time: Column) -> DataFrame:
     d = distribution(t, keys, "x", F.lit(1.0))
     span = d.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     j = d.join(span, keys).where("hi > lo")
-    return j.select(*keys, ((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x"), (F.col("cum") / F.col("total")).alias("f"))
+    return materialise(j.select(*keys, ((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x"), (F.col("cum") / F.col("total")).alias("f")), "lineages")
 
 
 def step_distance(curves: DataFrame, key: str, reference: DataFrame) -> DataFrame:
@@ -117,8 +117,8 @@ def step_distance(curves: DataFrame, key: str, reference: DataFrame) -> DataFram
     keys = F.explode(F.array(*[F.lit(r[0]) for r in names]).cast(f"array<{curves.schema[key].dataType.simpleString()}>")).alias(key)
     refs = reference.select(keys, "x", F.col("f").alias("g"))  # a copy of the reference for each of a bounded number of curves
     line = curves.select(key, "x", "f", F.lit(None).cast("double").alias("g")).unionByName(refs.select(key, "x", F.lit(None).cast("double").alias("f"), "g"))
-    line = line.groupBy(key, "x").agg(F.max("f").alias("f"), F.max("g").alias("g"))
-    line = last_known(last_known(line, [key], ["x"], "f", "_f"), [key], ["x"], "g", "_g")
+    line = materialise(line.groupBy(key, "x").agg(F.max("f").alias("f"), F.max("g").alias("g")), "knots")
+    line = materialise(last_known(last_known(line, [key], ["x"], "f", "_f"), [key], ["x"], "g", "_g"), "knots")
     both = previous(line, [key], ["x"], ["x", "_f", "_g"], "b")
     area = (F.col("x") - F.col("b.x")) * F.abs(F.coalesce("b._f", F.lit(0.0)) - F.coalesce("b._g", F.lit(0.0)))
     return both.groupBy(key).agg(F.sum(F.coalesce(area, F.lit(0.0))).alias("distance"))

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ordered import last_known, previous, running_sum
 
 
@@ -31,7 +32,7 @@ def distribution(df: DataFrame, keys: list[str], value: str, weight: str | Colum
     """(keys, x, w, cum, total): distinct values with their weight, running weight and the group's total."""
     weight = F.col(weight) if isinstance(weight, str) else weight
     points = df.select(*keys, F.col(value).cast("double").alias("x"), weight.cast("double").alias("w")).where("x is not null and w is not null and w > 0")
-    points = points.groupBy(*keys, "x").agg(F.sum("w").alias("w"))
+    points = materialise(points.groupBy(*keys, "x").agg(F.sum("w").alias("w")), "distribution")  # the input is read once
     totals = points.groupBy(*keys).agg(F.sum("w").alias("total"))
     run = running_sum(points, keys, ["x"], {"cum": F.col("w")})
     return run.alias("p").join(F.broadcast(totals).alias("t") if totals.limit(10_001).count() <= 10_000 else totals.alias("t"), [F.col(f"p.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]).select("p.*", "t.total")
@@ -49,11 +50,12 @@ def hpd(df: DataFrame, keys: list[str], value: str, weight: str, conf: float) ->
     starts at probability p is piecewise linear in p, so its minimum is at a knot or conf before one: these are the
     candidates. Ties go to the smallest start. A group with one distinct value gives that value twice.
     """
-    d = distribution(df, keys, value, weight)
+    d = materialise(distribution(df, keys, value, weight), "knots")
     low = d.groupBy(*keys).agg(F.min("x").alias("_lo"))
     d = d.alias("d").join(low.alias("l"), [F.col(f"d.{k}").eqNullSafe(F.col(f"l.{k}")) for k in keys]).select("d.*", F.when(F.col("x") == F.col("_lo"), 0.0).otherwise(F.col("cum") / F.col("total")).alias("f"))
+    d = materialise(d, "knots")
     ahead = previous(d.withColumn("_neg", -F.col("x")).select(*keys, "x", "f", "_neg"), keys, ["_neg"], ["x", "f"], "_next")
-    knots = ahead.select(*keys, F.col("f").alias("p"), F.struct("x", "f", F.col("_next.x").alias("nx"), F.col("_next.f").alias("nf")).alias("knot"))
+    knots = materialise(ahead.select(*keys, F.col("f").alias("p"), F.struct("x", "f", F.col("_next.x").alias("nx"), F.col("_next.f").alias("nf")).alias("knot")), "knots")
 
     ends = F.lit(1.0 - conf)
     starts = F.array_distinct(F.array(F.col("p"), F.col("p") - conf, F.when(F.col("knot.nx").isNull(), ends)))
@@ -77,6 +79,7 @@ def hpd_discrete(df: DataFrame, keys: list[str], value: str, weight: str, conf:
     not by pairing all values.
     """
     d = distribution(df, keys, value, weight).withColumn("f", F.round(F.col("cum") / F.col("total"), 12)).withColumn("g", F.round((F.col("cum") - F.col("w")) / F.col("total"), 12))
+    d = materialise(d, "knots")
     mode = d.groupBy(*keys).agg(F.max_by("x", F.struct("w", -F.col("x"))).alias("_mode"))
     # the first end with f >= g + conf: walking down by f, the last end at or after the wanted mass
     ends = d.select(*keys, (-F.col("f")).alias("p"), F.lit(0).alias("_o"), F.struct("x", "f").alias("end"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("g"))
