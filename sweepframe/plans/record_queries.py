@@ -112,3 +112,25 @@ def p6_qualifiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_unified, p1_alternatives, p2_found, p2_wide, p3_found, p3_report, p4_found, p5_found, p5_zone_estimates, p6_found, p6_qualifiers)}
+
+_KEY = r"lower(regexp_replace({0}, '[\s_.\-]+', '', 'g'))"
+_FILE = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '[/\\]+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '[^/]+/\.\./', '', 'g'), '/(\.)?$', '')"
+_ORPHANS = f"""r AS (SELECT DISTINCT link_id, ref_field, {_FILE.format('ref')} AS k, recorded_at FROM (SELECT link_id, 'path' AS ref_field, path AS ref, recorded_at FROM expt_dependencies UNION ALL SELECT link_id, 'dep_path', dep_path, recorded_at FROM expt_dependencies) WHERE ref IS NOT NULL AND recorded_at IS NOT NULL),
+ m AS (SELECT {_FILE.format('path')} AS k, stored_at, purged_at FROM expt_md5 WHERE path IS NOT NULL),
+ j AS (SELECT link_id, ref_field, recorded_at, count(m.k) AS n, count(*) FILTER (stored_at <= recorded_at) AS stored, count(*) FILTER (stored_at <= recorded_at AND (purged_at IS NULL OR purged_at > recorded_at)) AS live FROM r LEFT JOIN m USING (k) GROUP BY link_id, ref_field, r.k, recorded_at),
+ o AS (SELECT DISTINCT link_id, ref_field, CASE WHEN n = 0 THEN 'missing' WHEN stored = 0 THEN 'late' ELSE 'deleted' END AS kind, strftime(recorded_at, '%Y-%m') AS period FROM j WHERE live = 0)"""
+
+ORACLE = {
+    "p2_found": f"""WITH names AS (SELECT {_KEY.format('parameter')} AS k, parameter, value_type FROM parameter_types UNION SELECT {_KEY.format('alias')}, t.parameter, value_type FROM parameter_aliases a JOIN parameter_types t ON a.parameter = t.parameter),
+ d AS (SELECT path, n.parameter, value_type, regexp_replace(value, '^\\s+|\\s+$', '', 'g') AS v FROM expt_data e JOIN names n ON n.k = {_KEY.format('e.parameter')} WHERE path IS NOT NULL AND trim(path) <> ''),
+ x AS (SELECT *, CASE WHEN regexp_full_match(v, '[+-]?\\d{{1,3}}(,\\d{{3}})+(\\.\\d*)?') THEN replace(v, ',', '') ELSE v END AS n FROM d), y AS (SELECT *, CASE WHEN regexp_full_match(n, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN n::DOUBLE END AS num FROM x),
+ c AS (SELECT path, parameter, CASE value_type WHEN 'integer' THEN CASE WHEN num = floor(num) THEN num::BIGINT::VARCHAR END WHEN 'double' THEN printf('%.6f', num) WHEN 'boolean' THEN CASE WHEN lower(v) IN ('true', 'yes', 't', 'y', 'on', '1') THEN 'true' WHEN lower(v) IN ('false', 'no', 'f', 'n', 'off', '0') THEN 'false' END
+   WHEN 'text' THEN CASE WHEN lower(v) NOT IN ('na', 'none', 'null', 'nan', '') THEN v END END AS cell FROM y) SELECT DISTINCT path, parameter, cell FROM c WHERE cell IS NOT NULL""",
+    "p3_found": f"WITH {_ORPHANS} SELECT link_id, ref_field, kind, period FROM o",
+    "p3_report": f"WITH {_ORPHANS} SELECT ref_field, period, kind, count(*) AS n_links FROM o GROUP BY ALL",
+    "p4_found": """WITH i AS (SELECT gbid, least(start, "end")::BIGINT AS s, greatest(start, "end")::BIGINT AS e FROM gene_intervals WHERE start IS NOT NULL AND "end" IS NOT NULL),
+ m AS (SELECT *, max(e) OVER (PARTITION BY gbid ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM i),
+ g AS (SELECT *, sum(CASE WHEN p IS NULL OR s > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY gbid ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM m),
+ r AS (SELECT gbid, k, min(s) AS a, max(e) AS b, lag(max(e)) OVER (PARTITION BY gbid ORDER BY k) AS before FROM g GROUP BY gbid, k)
+SELECT gbid, 'period' AS kind, a AS range_start, b AS range_end FROM r UNION ALL SELECT gbid, 'gap', before + 1, a - 1 FROM r WHERE before IS NOT NULL""",
+}
