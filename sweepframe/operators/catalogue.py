@@ -88,3 +88,17 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row per key by order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def verify_checksums(files: DataFrame, md5: DataFrame) -> DataFrame:
+    """(path, state) of files (path, content) against md5 (path, checksum): changed, or unregistered where there is no row."""
+    real = files.select("path", F.md5("content").alias("_now"))
+    joined = real.join(md5.groupBy("path").agg(F.max("checksum").alias("checksum"), F.count("*").alias("_n")), "path", "left")
+    state = F.when(F.col("_n").isNull(), "unregistered").when(F.col("checksum").isNull() | (F.col("checksum") != F.col("_now")), "changed")
+    return joined.select("path", state.alias("state")).where("state is not null")
+
+
+def varying_columns(df: DataFrame) -> list[str]:
+    """Columns with more than one value (null counts as one), in one pass."""
+    first = df.agg(*[(F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias(f"_{i}") for i, c in enumerate(df.columns)]).first()
+    return [c for i, c in enumerate(df.columns) if (first[i] or 0) > 1]

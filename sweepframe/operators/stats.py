@@ -111,3 +111,47 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
         if abs(1 - c * d) < 1e-14:
             break
     return front * (f - 1)
+
+
+def sequential_anova(df: DataFrame, value: str, factors: list[str]) -> list[tuple[str, int, float]]:
+    """(factor, degrees of freedom, sum of squares) in the order given, by nested least squares on factor levels.
+
+    The moments of the design (levels squared, a bounded specification) are summed by Spark; only they reach the driver.
+    """
+    import numpy as np
+
+    t = df.where(F.col(value).isNotNull()).dropna(subset=factors)
+    cells = t.groupBy(*factors).agg(F.count("*").alias("_n"), F.sum(value).alias("_s"), F.sum(F.col(value) * F.col(value)).alias("_q")).limit(100_001).collect()
+    if not cells or len(cells) > 100_000:
+        raise ValueError("between 1 and 100,000 combinations of levels are needed")
+    n, s = np.array([c._n for c in cells], float), np.array([c._s for c in cells], float)
+    design, before, out = [np.ones(len(cells))], None, []
+    for k in [None, *factors]:
+        if k is not None:
+            levels = sorted({c[k] for c in cells}, key=str)[1:]
+            design += [np.array([float(c[k] == level) for c in cells]) for level in levels]
+        x = np.stack(design, 1)
+        a, b = x.T @ (x * n[:, None]), x.T @ s
+        beta = np.linalg.lstsq(a, b, rcond=None)[0]
+        fitted, rank = float(beta @ b), int(np.linalg.matrix_rank(a))
+        if before is not None:
+            out.append((k, rank - before[1], fitted - before[0]))
+        before = (fitted, rank)
+    return [*out, ("residuals", int(n.sum()) - before[1], sum(c._q for c in cells) - before[0])]
+
+
+def glm(df: DataFrame, label: str, terms: list[tuple[str, ...]], family: str, link: str, max_iter: int = 25) -> list[tuple[str, float, float]]:
+    """(term, estimate, p-value) of a generalised linear model; a term of several columns is their product."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    t = df.dropna(subset=[label, *{c for term in terms for c in term}])
+    for i, term in enumerate(terms):
+        product = F.lit(1.0)
+        for c in term:
+            product = product * F.col(c)
+        t = t.withColumn(f"_t{i}", product)
+    data = VectorAssembler(inputCols=[f"_t{i}" for i in range(len(terms))], outputCol="_features").transform(t)
+    model = GeneralizedLinearRegression(family=family, link=link, labelCol=label, featuresCol="_features", maxIter=max_iter).fit(data)
+    p = model.summary.pValues
+    return [("(intercept)", float(model.intercept), float(p[-1])), *((":".join(term), float(v), float(q)) for term, v, q in zip(terms, model.coefficients, p))]

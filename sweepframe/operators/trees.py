@@ -122,3 +122,44 @@ def step_distance(curves: DataFrame, key: str, reference: DataFrame) -> DataFram
     both = previous(line, [key], ["x"], ["x", "_f", "_g"], "b")
     area = (F.col("x") - F.col("b.x")) * F.abs(F.coalesce("b._f", F.lit(0.0)) - F.coalesce("b._g", F.lit(0.0)))
     return both.groupBy(key).agg(F.sum(F.coalesce(area, F.lit(0.0))).alias("distance"))
+
+
+def scale_branches(nodes: DataFrame) -> DataFrame:
+    """nodes with lengths divided by their tree's mean length (roots and null lengths aside); unchanged where the mean is 0."""
+    mean = nodes.where("parent is not null").groupBy("tree").agg(F.avg("length").alias("_m"))
+    j = nodes.join(mean, "tree", "left")
+    return j.withColumn("length", F.when(F.col("_m") != 0, F.col("length") / F.col("_m")).otherwise(F.col("length"))).select(*nodes.columns)
+
+
+def ladderize(nodes: DataFrame) -> DataFrame:
+    """nodes plus child_pos: siblings by the tips below them, fewest first, ties by branch length, then by name."""
+    from pyspark.sql import Window
+
+    tips = subtree_tips(depths(nodes)).select("tree", "node", "tips")
+    w = Window.partitionBy("tree", "parent").orderBy("tips", F.col("length").asc_nulls_first(), "node")  # the children of one node
+    return nodes.join(tips, ["tree", "node"]).withColumn("child_pos", F.row_number().over(w)).drop("tips")
+
+
+def prune(nodes: DataFrame, drop: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+    """The trees without the tips in drop (tree, node): inner nodes left without children go, those with one child are
+    contracted, their lengths added; a root with one child gives way to it. A round a level of what is removed."""
+    gone = drop.select("tree", "node").distinct()
+    inner = nodes.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+    left = materialise(nodes.select("tree", "node", "parent", F.coalesce("length", F.lit(0.0)).alias("length")).join(gone.join(inner, ["tree", "node"], "left_anti"), ["tree", "node"], "left_anti"), "prune")
+    for _ in range(max_rounds):
+        kids = left.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct()
+        empty = inner.join(left.select("tree", "node"), ["tree", "node"]).join(kids, ["tree", "node"], "left_anti")
+        if empty.isEmpty():
+            break
+        left = materialise(left.join(empty, ["tree", "node"], "left_anti"), "prune")
+    for _ in range(max_rounds):
+        single = left.where("parent is not null").groupBy("tree", "parent").agg(F.count("*").alias("k"), F.first("node").alias("_kid")).where("k = 1").select("tree", F.col("parent").alias("node"))
+        if single.isEmpty():
+            break
+        s = left.join(single, ["tree", "node"])
+        head = s.join(single.select("tree", F.col("node").alias("parent")), ["tree", "parent"], "left_anti")  # the topmost of each chain
+        up = head.select("tree", F.col("node").alias("parent"), F.col("parent").alias("_up"), F.col("length").alias("_len"))
+        rest = left.join(head.select("tree", "node"), ["tree", "node"], "left_anti").join(up, ["tree", "parent"], "left")
+        moved = F.col("_len").isNotNull()
+        left = materialise(rest.select("tree", "node", F.when(moved, F.col("_up")).otherwise(F.col("parent")).alias("parent"), F.when(moved & F.col("_up").isNull(), 0.0).when(moved, F.col("length") + F.col("_len")).otherwise(F.col("length")).alias("length")), "prune")
+    return left

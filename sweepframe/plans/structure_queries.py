@@ -67,6 +67,22 @@ def patristic_distance(spark, d):
     return T.patristic(t, q.select("tree", "a", "b"))
 
 
+@R.query(f"WITH {TREE_SQL}, m AS (SELECT tree, avg(length) AS m FROM nodes WHERE parent IS NOT NULL GROUP BY ALL) SELECT tree, node, round(length / m, 8) AS length FROM nodes JOIN m USING (tree)")
+def scaled_branches(spark, d):
+    return T.scale_branches(_tree(spark, d)).select("tree", "node", F.round("length", 8).alias("length"))
+
+
+@R.query(f"""WITH {TREE_SQL}, o AS (SELECT n.* FROM nodes n JOIN orders ON n.node = 'o' || o_orderkey WHERE o_orderstatus = 'P'), k AS (SELECT parent, count(*) AS k FROM o GROUP BY ALL), c AS (SELECT n.tree, n.node, n.parent, n.length FROM nodes n JOIN k ON n.node = k.parent WHERE k.k > 1), s AS (SELECT o.tree, o.node, n.parent, o.length + n.length AS length FROM o JOIN k USING (parent) JOIN nodes n ON n.node = o.parent AND n.tree = o.tree WHERE k.k = 1)
+SELECT tree, count(*) AS n, round(sum(length), 4) AS total FROM (SELECT tree, node, length FROM c UNION ALL SELECT o.tree, o.node, o.length FROM o JOIN k USING (parent) WHERE k.k > 1 UNION ALL SELECT tree, node, length FROM s) GROUP BY ALL""")
+def pruned_tree(spark, d):
+    """The trees with only the pending orders as tips, summarised below the nations."""
+    t = _tree(spark, d)
+    keep = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    tips = t.join(t.where("parent is not null").select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    p = T.prune(t, tips.join(keep, "node", "left_anti").select("tree", "node"))
+    return p.where("node like 'c%' or node like 'o%'").groupBy("tree").agg(F.count("*").alias("n"), F.round(F.sum("length"), 4).alias("total"))
+
+
 @R.query("""WITH e AS (SELECT event_type AS k, epoch_us(ts) AS t FROM events UNION ALL SELECT 'all', epoch_us(ts) FROM events), p AS (SELECT k, t, count(*) AS w FROM e GROUP BY ALL),
  c AS (SELECT k, (t - min(t) OVER (PARTITION BY k))::DOUBLE / (max(t) OVER (PARTITION BY k) - min(t) OVER (PARTITION BY k)) AS x, (sum(w) OVER (PARTITION BY k ORDER BY t))::DOUBLE / sum(w) OVER (PARTITION BY k) AS f FROM p),
  u AS (SELECT t.k, x, max(f) AS f, max(g) AS g FROM (SELECT k, x, f, NULL AS g FROM c WHERE k <> 'all' UNION ALL SELECT t.k, x, NULL, f FROM c, (SELECT DISTINCT k FROM c WHERE k <> 'all') t WHERE c.k = 'all') t GROUP BY ALL),

@@ -156,3 +156,43 @@ def test_quantiles_equal_numpy(spark):
     got = weighted.quantiles(spark.createDataFrame([("g", float(v)) for v in x], "k string, v double"), ["k"], "v", [0.025, 0.3, 0.5]).first()
     assert np.allclose([got.q0, got.q1, got.q2], np.quantile(x, [0.025, 0.3, 0.5])) and got.n == 101
     assert all(a <= b for a, b in pairwise([got.q0, got.q1, got.q2]))
+
+
+def test_ladder_prune_and_scale(spark):
+    rows = [("t", "r", None, 0.0), ("t", "x", "r", 1.0), ("t", "y", "r", 2.0), ("t", "a", "x", 1.0), ("t", "b", "x", 3.0), ("t", "c", "y", 1.0)]
+    df = spark.createDataFrame(rows, "tree string, node string, parent string, length double")
+    pos = {r.node: r.child_pos for r in trees.ladderize(df).collect()}
+    assert (pos["y"], pos["x"], pos["a"], pos["b"]) == (1, 2, 1, 2)
+    drop = spark.createDataFrame([("t", "a")], "tree string, node string")
+    assert {(r.node, r.parent, r.length) for r in trees.prune(df, drop).collect()} == {("r", None, 0.0), ("b", "r", 4.0), ("c", "r", 3.0)}
+    both = spark.createDataFrame([("t", "a"), ("t", "b")], "tree string, node string")
+    assert {(r.node, r.parent) for r in trees.prune(df, both).collect()} == {("c", None)}
+    assert {r.node: r.length for r in trees.scale_branches(df).collect()}["b"] == 3.0 / 1.6
+
+
+def test_sampling(spark):
+    from sweepframe.operators import sampling
+
+    df = spark.range(101).withColumns({"k": F.col("id") % 2, "w": F.when(F.col("id") < 50, 100.0).otherwise(1.0)})
+    assert sampling.half_split(df, "id").where("half = 0").count() == 50
+    s = sampling.weighted_sample(df, ["k"], "id", "w", 10)
+    assert s.count() == 20 and s.where("id < 50").count() >= 16
+    assert sampling.weighted_sample(df.withColumn("w", F.lit(0.0)), ["k"], "id", "w", 10).count() == 0
+
+
+def test_checksums_and_varying_columns(spark):
+    files = spark.createDataFrame([("a", bytearray(b"1")), ("b", bytearray(b"2")), ("c", bytearray(b"3"))], "path string, content binary")
+    md5 = spark.createDataFrame([("a", "c4ca4238a0b923820dcc509a6f75849b"), ("b", "x")], "path string, checksum string")
+    assert {tuple(r) for r in catalogue.verify_checksums(files, md5).collect()} == {("b", "changed"), ("c", "unregistered")}
+    assert catalogue.varying_columns(spark.createDataFrame([(1, None, "x"), (1, "y", "x")], "a int, b string, c string")) == ["b"]
+
+
+def test_anova_and_glm(spark):
+    r = np.random.default_rng(3)
+    rows = [("ab"[i % 2], "xyz"[i % 3], float(i % 2 * 2 + i % 3 + r.normal())) for i in range(120)]
+    df = spark.createDataFrame(rows, "f string, g string, v double")
+    out = {n: (k, ss) for n, k, ss in stats.sequential_anova(df, "v", ["f", "g"])}
+    one = stats.anova(df, "f", "v").first()
+    assert out["f"][0] == 1 and abs(out["f"][1] - one.ss_between) < 1e-6 and out["g"][0] == 2 and out["residuals"][0] == 116
+    g = stats.glm(df.withColumn("y", F.exp("v")).withColumn("q", (F.col("f") == "b").cast("double")), "y", [("q",)], "gamma", "log")
+    assert g[0][0] == "(intercept)" and g[1][1] > 0.5
