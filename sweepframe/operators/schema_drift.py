@@ -15,6 +15,7 @@ from ..functions.names import canonical_names, name_key, strip
 from ..functions.values import parsed
 from ..functions.stage import staged
 from ..sources.headers import body, pairs, type_tag, unquote
+from ..session import materialise
 from .ordered import CHUNK_ROWS, previous
 
 FIELD = "array<struct<parameter:string,spellings:array<string>,tags:array<string>,raw:string>>"
@@ -60,7 +61,7 @@ def changes(files: DataFrame, series: list[str], order: list[str], id_col: str,
     file of a series has no changes; files without fields are passed over; ties of the first order column are broken by
     the following ones. A series may hold any share of the files (cut into chunks above target files).
     """
-    rows = files.where("fields is not null").select(*dict.fromkeys([*series, *order, id_col]), "fields")
+    rows = materialise(files.where("fields is not null").select(*dict.fromkeys([*series, *order, id_col]), "fields"), "fields")  # parsed once
     rows = previous(rows, series, order, ["fields"], "_before", target).where("_before is not null and fields <> _before.fields")
     rows = rows.select(id_col, "fields", "_before")
     now, old = F.col("fields"), F.col("_before.fields")
