@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from . import bloom
 from .ordered import CHUNK_ROWS, running_sum
 
@@ -50,7 +51,7 @@ def orphans(refs: DataFrame, parents: DataFrame, key: Column, stored: str, purge
         .when(F.col("first_gone") > F.col("at"), "holds")
         .otherwise("undecided")
     )
-    checked = p.withColumn("kind", kind).where("kind <> 'holds'")
+    checked = materialise(p.withColumn("kind", kind).where("kind <> 'holds'").select("id", "ref_field", "key", "at", "kind"), "orphans")  # few: what holds is gone
     decided = checked.where("kind <> 'undecided'").select("id", "ref_field", "kind", "at")
 
     open_refs = checked.where("kind = 'undecided'").select("key", "at", F.lit(1).alias("_order"), F.lit(0).alias("_step"), "id", "ref_field")
