@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -334,26 +336,72 @@ def word_lists(df: DataFrame, text: str, given: list[str]) -> Names:
     return Names({g.lower() for g in given if g} | {r.word for r in learned}, {r.word for r in common})
 
 
-# Character classes that a surrogate keeps.
-CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ")
+# Character classes that a surrogate keeps, as lower-case letters; capitals move with them. Letters that are
+# not listed have classes of their own: see _table.
+CLASSES = (
+    "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áàâäãåāăąæéèêëēėęěíìîïīįóòôöõøōőœúùûüūůűųýÿ", "çćčďđðğģķłľĺļñńňņŕřŗśšşșťţțþżźž",
+    "аеёиоуыэюяіїє", "бвгґджзйклмнпрстфхцчшщўњљђћџј", "ъь", "αεηιουω", "άέήίόύώϊϋ", "βγδζθκλμνξπρστφχψ",
+)
+
+
+def _lower(c: str) -> str:
+    """The small letter of c where the two belong to each other alone, else c (ß, ς, İ and letters without case)."""
+    low = c.lower()
+    return low if len(low) == 1 and low.upper() == c and low.lower() == low else c
+
+
+@lru_cache(None)
+def _table() -> dict[str, str]:
+    """Letter or digit -> its class, for all of Unicode: CLASSES, else the same script, kind of letter and 256 code points.
+
+    Classes of one member are put together, so that every letter and digit can move.
+    """
+    table = {c: k for k in CLASSES for c in k}
+    rest: dict[tuple, list[str]] = {}
+    for c in map(chr, range(0x110000)):
+        if (c.isalpha() or c.isdecimal()) and c not in table and _lower(c) == c:
+            paired = c.upper() != c and _lower(c.upper()) == c
+            kind = (unicodedata.category(c), paired)
+            rest.setdefault((*kind, unicodedata.name(c, "").split(" ")[0], unicodedata.decimal(c, None) is None and ord(c) >> 8), []).append(c)
+    alone: dict[tuple, list[str]] = {}
+    for kind, members in rest.items():
+        (alone.setdefault(kind[:2], []) if len(members) == 1 else rest[kind]).extend(members if len(members) == 1 else [])
+    for members in [m for m in rest.values() if len(m) > 1] + list(alone.values()):
+        table |= dict.fromkeys(members, "".join(members))
+    return table
+
+
+@lru_cache(65_536)
+def _place(c: str) -> tuple[str, int, bool] | None:
+    """The class of c, its index there and whether c is the capital of that letter; None for what is no letter or digit."""
+    low = _lower(c)
+    own = next((k for k in CLASSES if low in k), None) or (None if c.isascii() else _table().get(low))
+    return own and (own, own.index(low), low != c)
 
 
 def surrogate(kind: str, mention: str, key: bytes) -> str:
-    """A keyed replacement of the same format, different for different mentions of one kind and format.
+    """A keyed replacement of the same format, different from the mention and for different mentions of one kind and format.
 
-    Each letter or digit moves within its class by a keyed hash of the format and of all that stands before it, so the
-    mapping can be undone with the key and has no collisions. Case differences of e-mails and names don't matter for which
-    letter is chosen. Letters outside a-z and marks stay; a name keeps its last letter.
+    Each letter or digit, of any script, moves within its class by a keyed hash of the format and of all that stands before
+    it, the first one by at least one place: the mapping can be undone with the key, has no collisions and leaves no mention
+    as it was. Case differences of e-mails and names don't matter for which letter is chosen. A name keeps its last letter
+    where another letter moves; marks stay.
     """
-    fold = mention.lower() if kind in ("email", "person_name") else mention
-    shape = "".join(next((k[0] for k in CLASSES if c in k), c) for c in fold)
-    last = len(mention) - 1 if kind == "person_name" else -1
+    folds = kind in ("email", "person_name")
+    places = [_place(c) for c in mention]
+    shape = "".join(c if p is None else p[0][0].upper() if p[2] and not folds else p[0][0] for c, p in zip(mention, places))
+    moving = [i for i, p in enumerate(places) if p]
+    if kind == "person_name" and len(moving) > 1 and moving[-1] == len(mention) - 1:
+        moving.pop()
     state = hashlib.blake2b(f"{kind}\0{shape}".encode("utf-8", "replace"), key=key, digest_size=16).digest()
-    out = []
+    out, at = list(mention), set(moving)
     for i, c in enumerate(mention):
-        own = next((k for k in CLASSES if c in k), None)
-        out.append(c if own is None or i == last else own[(own.index(c) + int.from_bytes(state[:4])) % len(own)])
-        state = hashlib.blake2b(state + fold[i : i + 1].encode("utf-8", "replace"), key=key, digest_size=16).digest()
+        if i in at:
+            own, k, capital = places[i]
+            shift = int.from_bytes(state[:4])
+            new = own[(k + (1 + shift % (len(own) - 1) if i == moving[0] else shift)) % len(own)]
+            out[i] = new.upper() if capital else new
+        state = hashlib.blake2b(state + (_lower(c) if folds else c).encode("utf-8", "replace"), key=key, digest_size=16).digest()
     return "".join(out)
 
 

@@ -137,3 +137,29 @@ def test_redaction_keeps_the_rest(spark):
     assert found and not any(m in got[1] for m in found) and "isbn 900-1-5975-5052-12" in got[1]
     assert re.sub(r"\[(EMAIL|PHONE|ID_NUMBER|STREET_ADDRESS|PERSON_NAME) [^\n]*?\]", "", got[1]).count("\n") == POST.count("\n")
     assert pii.mentions(df.limit(0), "doc_id", "text", names).count() == 0
+
+
+ANY_SCRIPT = ["Иван Петров", "ИВАН", "Γιώργος Παπαδόπουλος", "Ρω", "Žofie", "Søren Åkesson", "Éa", "Großmann", "ẞa", "Ed", "Al", "Ian", "Li", "José", "张伟", "김민준", "יוסי", "أحمد", "İı", "Ǆa", "ა", "A", "é"]
+
+
+@pytest.mark.parametrize("kind", ["person_name", "street_address", "email", "id_number", "phone"])
+def test_no_mention_of_any_script_survives(kind):
+    for k in range(200):
+        for m in ANY_SCRIPT + ["٣٤٥٦٧٨٩٠", "5"] * (kind != "person_name"):
+            s = pii.surrogate(kind, m, b"key%d" % k)
+            assert s != m and len(s) == len(m) and [c.isupper() for c in s] == [c.isupper() for c in m], (m, s)
+    s = pii.surrogate("person_name", "Иван Петров", b"key")
+    assert all(a != b for a, b in zip("Иван"[:1], s)) and re.fullmatch(r"[\u0400-\u04ff]+ [\u0400-\u04ff]+", s)
+
+
+def test_every_letter_and_digit_moves_within_a_class_of_more_than_one():
+    for c in map(chr, range(0x110000)):
+        if c.isalpha() or c.isdecimal():
+            own, k, capital = pii._place(c)
+            assert len(own) > 1 and (own[k].upper() if capital else own[k]) == c
+
+
+@given(st.sets(st.text("abАбВвΓγéÉßςİ٣1 -", min_size=1, max_size=4), min_size=2, max_size=60), st.sampled_from(["phone", "id_number", "street_address", "person_name"]))
+@settings(max_examples=100, deadline=None)
+def test_surrogates_of_other_scripts_stay_distinct(mentions, kind):
+    assert len({pii.surrogate(kind, m, b"k") for m in mentions}) == len(mentions)
