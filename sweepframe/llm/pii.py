@@ -24,7 +24,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A word is common from this share of all words on (so there are at most 1 / COMMON_SHARE of them), a given name if it
+#: A word is common from this share of all words on (so there are at most 1 / COMMON_SHARE of them) unless that is its use as
+#: a surname, a given name if it
 #: follows a cue at least NAME_COUNT times and in NAME_SHARE of its occurrences; LIST_WORDS bounds what reaches the driver.
 COMMON_SHARE, NAME_COUNT, NAME_SHARE, LIST_WORDS = 5e-5, 3, 0.15, 20_000
 COUNTER_WORDS = 200_000
@@ -300,40 +301,62 @@ def find_all(text: str, names: Names) -> list[tuple[str, int, int]]:
 
 
 def count_words(df: DataFrame, text: str) -> DataFrame:
-    """(word, n, n_cue) over all texts, e-mail addresses and URLs aside: lower-case words and how often they follow a cue."""
+    """(word, prev, n, n_small, n_cue) over all texts, e-mail addresses and URLs aside: lower-case words.
+
+    prev null: how often the word stands, how often without a capital, how often behind a cue. Else n capitalised uses right
+    behind the capitalised word prev, initials and particles between them aside.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, cued = Counter(), Counter()
+        total, small, cued = Counter(), Counter(), Counter()  # by (word, prev)
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "replace").decode() for w in total]), pa.array(list(total.values()), pa.int64()), pa.array([cued[w] for w in total], pa.int64())], ["word", "n", "n_cue"])
-            total.clear(), cued.clear()
+            clean = lambda w: w and w.encode("utf-8", "replace").decode()
+            words = [pa.array([clean(k[i]) for k in total], pa.string()) for i in (0, 1)]
+            batch = pa.RecordBatch.from_arrays([*words, *[pa.array([c[k] for k in total], pa.int64()) for c in (total, small, cued)]], ["word", "prev", "n", "n_small", "n_cue"])
+            total.clear(), small.clear(), cued.clear()
             return batch
 
         cue = regex.compile(CUE_BEFORE.pattern[:-1] + rf"({CAP})(?=(?: \p{{Lu}}\.)?(?: (?:{'|'.join(PARTICLES)}))? \p{{Lu}}|[,:]|\s?\n)", regex.I)
+        pair = regex.compile(rf"(?<!\p{{L}})({CAP})(?: \p{{Lu}}\.)*(?: (?:{'|'.join(PARTICLES)})){{0,2}} (?=({CAP}))")
         for b in batches:
             for t in b.column(0).to_pylist():
                 t = URL.sub(" ", EMAIL.sub(" ", t))
-                total.update(w.lower() for w in TOKEN.findall(t))
-                cued.update(m.group(1).lower() for m in cue.finditer(t) if m.group(1)[0].isupper())
+                words = TOKEN.findall(t)
+                total.update((w.lower(), None) for w in words)
+                small.update((w.lower(), None) for w in words if not w[0].isupper())
+                cued.update((m.group(1).lower(), None) for m in cue.finditer(t) if m.group(1)[0].isupper())
+                total.update((m.group(2).lower(), m.group(1).lower()) for m in pair.finditer(t))
                 if len(total) > COUNTER_WORDS:
                     yield out()
         if total:
             yield out()
 
-    return df.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, n bigint, n_cue bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_cue").alias("n_cue"))
+    counts = df.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, prev string, n bigint, n_small bigint, n_cue bigint")
+    return counts.groupBy("word", "prev").agg(*[F.sum(c).alias(c) for c in ("n", "n_small", "n_cue")])
 
 
 def word_lists(df: DataFrame, text: str, given: list[str]) -> Names:
-    """Names() from the counts over all texts and the known given names. At most LIST_WORDS of each list reach the driver."""
+    """Names() from the counts over all texts and the known given names. At most LIST_WORDS of each list reach the driver.
+
+    A word is common by its use without a capital; one that is mostly capitalised (at the head of sentences, German nouns)
+    by all its use, unless it is a surname: behind a given name or a cue in NAME_SHARE of its use.
+    """
     from ..session import materialise
 
     counts = materialise(count_words(df, text), "word-counts")
-    words = counts.agg(F.sum("n")).first()[0] or 0
-    common = counts.where((F.col("n") >= max(2.0, COMMON_SHARE * words))).select("word").limit(int(1 / COMMON_SHARE)).collect()
-    learned = counts.where((F.col("n_cue") >= NAME_COUNT) & (F.col("n_cue") >= NAME_SHARE * F.col("n")) & (F.length("word") > 2))
+    single, pairs = counts.where("prev is null").drop("prev"), counts.where("prev is not null").select("word", "prev", F.col("n").alias("k"))
+    words = single.agg(F.sum("n")).first()[0] or 0
+    learned = single.where((F.col("n_cue") >= NAME_COUNT) & (F.col("n_cue") >= NAME_SHARE * F.col("n")) & (F.length("word") > 2))
+    known = sorted({g.lower() for g in given if g})
+    names = learned.select("word").unionByName(df.sparkSession.createDataFrame([(g,) for g in known], "word string")).distinct()
+    frequent = single.where(F.col("n") >= max(2.0, COMMON_SHARE * words))
+    named = pairs.join(names.withColumnRenamed("word", "prev"), "prev", "left_semi").groupBy("word").agg(F.sum("k").alias("k"))
+    surname = F.coalesce("k", F.lit(0)) + F.col("n_cue") >= NAME_SHARE * F.col("n")
+    common = frequent.join(named, "word", "left").where((F.col("n_small") >= max(2.0, COMMON_SHARE * words)) | ~surname)
+    common = common.select("word").limit(int(1 / COMMON_SHARE)).collect()
     learned = learned.orderBy(F.desc("n_cue"), "word").limit(LIST_WORDS).collect()
-    return Names({g.lower() for g in given if g} | {r.word for r in learned}, {r.word for r in common})
+    return Names(set(known) | {r.word for r in learned}, {r.word for r in common})
 
 
 # Character classes that a surrogate keeps, as lower-case letters; capitals move with them. Letters that are

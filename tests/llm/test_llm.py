@@ -163,3 +163,13 @@ def test_every_letter_and_digit_moves_within_a_class_of_more_than_one():
 @settings(max_examples=100, deadline=None)
 def test_surrogates_of_other_scripts_stay_distinct(mentions, kind):
     assert len({pii.surrogate(kind, m, b"k") for m in mentions}) == len(mentions)
+
+
+def test_a_frequent_surname_is_no_common_word(spark):
+    rows = [(i, f"Ticket {i} is open and the tree of run {i} is short. " + ("Regards, Jane Keller" if i % 3 == 0 else "see you")) for i in range(300)] + [(900, "cc Jane Ticket 7 is closed, Jane Keller wrote. And Jane And so on")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    names = pii.word_lists(df, "text", ["Jane"])
+    assert "keller" not in names.common and {"ticket", "tree", "and"} <= names.common
+    got = pii.mentions(df, "doc_id", "text", names).collect()
+    assert {r.mention for r in got if r.doc_id < 900} == {"Jane Keller"} and {r.mention for r in got if r.doc_id == 900} == {"Jane", "Jane Keller"}
+    assert not any("Keller" in r.text for r in pii.redact(df, "doc_id", "text", names, b"key").collect())
