@@ -196,11 +196,32 @@ def find_addresses(text: str, common: set[str]) -> list[tuple[int, int]]:
     return spans
 
 
+class _Changed:
+    """A large set with a few words more and a few less, without a copy of it."""
+
+    def __init__(self, words: set[str], more: set[str], less: set[str]):
+        self.words, self.more, self.less = words, more, less
+
+    def __contains__(self, word: str) -> bool:
+        return word in self.more or word in self.words and word not in self.less
+
+
 class Names:
-    """Names of persons by two word lists: given names (known ones and those learned from cues) and common words."""
+    """Names of persons by two word lists: given names (known ones and those learned from cues) and common words.
+
+    rest: a table (word) of the given names that are not in the set, None if there are none.
+    """
+
+    def __init__(self, given: set[str], common: set[str], rest: DataFrame | None = None):
+        self.given, self.common, self.rest = given, common - given, rest
 
-    def __init__(self, given: set[str], common: set[str]):
-        self.given, self.common = given, common - given
+    def plus(self, more: list[str] | None) -> Names:
+        """These names and more given names: those of rest that stand in one text."""
+        if not more:
+            return self
+        own = Names(set(), set())
+        own.given, own.common = _Changed(self.given, set(more), set()), _Changed(self.common, set(), set(more))
+        return own
 
     def _surname(self, s: str, lower: bool) -> bool:
         parts = s.lower().split("-")
@@ -336,8 +357,21 @@ def count_words(df: DataFrame, text: str) -> DataFrame:
     return counts.groupBy("word", "prev").agg(*[F.sum(c).alias(c) for c in ("n", "n_small", "n_cue")])
 
 
-def word_lists(df: DataFrame, text: str, given: list[str]) -> Names:
-    """Names() from the counts over all texts and the known given names. At most LIST_WORDS of each list reach the driver.
+def _lower_words(df: DataFrame) -> DataFrame:
+    """(word): the words of the only column in lower case, as Python makes it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([w and w.lower() for w in b.column(0).to_pylist()], pa.string())], ["word"])
+
+    return df.mapInArrow(run, "word string").where("word <> ''")
+
+
+def word_lists(df: DataFrame, text: str, given: list[str] | DataFrame) -> Names:
+    """Names() from the counts over all texts and the known given names (a list, or a table of one column).
+
+    At most LIST_WORDS given names, those that stand most often behind a cue, and 1 / COMMON_SHARE common words reach the
+    driver; further given names stay a table, which is joined with the words of the texts.
 
     A word is common by its use without a capital; one that is mostly capitalised (at the head of sentences, German nouns)
     by all its use, unless it is a surname: behind a given name or a cue in NAME_SHARE of its use.
@@ -348,15 +382,21 @@ def word_lists(df: DataFrame, text: str, given: list[str]) -> Names:
     single, pairs = counts.where("prev is null").drop("prev"), counts.where("prev is not null").select("word", "prev", F.col("n").alias("k"))
     words = single.agg(F.sum("n")).first()[0] or 0
     learned = single.where((F.col("n_cue") >= NAME_COUNT) & (F.col("n_cue") >= NAME_SHARE * F.col("n")) & (F.length("word") > 2))
-    known = sorted({g.lower() for g in given if g})
-    names = learned.select("word").unionByName(df.sparkSession.createDataFrame([(g,) for g in known], "word string")).distinct()
+    known = given if isinstance(given, DataFrame) else df.sparkSession.createDataFrame([(g,) for g in given], "word string")
+    names = learned.select("word", "n_cue").unionByName(_lower_words(known).withColumn("n_cue", F.lit(0).cast("bigint")))
+    names = materialise(names.groupBy("word").agg(F.max("n_cue").alias("n_cue")), "given-names")
     frequent = single.where(F.col("n") >= max(2.0, COMMON_SHARE * words))
-    named = pairs.join(names.withColumnRenamed("word", "prev"), "prev", "left_semi").groupBy("word").agg(F.sum("k").alias("k"))
+    named = pairs.join(names.select(F.col("word").alias("prev")), "prev", "left_semi").groupBy("word").agg(F.sum("k").alias("k"))
     surname = F.coalesce("k", F.lit(0)) + F.col("n_cue") >= NAME_SHARE * F.col("n")
     common = frequent.join(named, "word", "left").where((F.col("n_small") >= max(2.0, COMMON_SHARE * words)) | ~surname)
     common = common.select("word").limit(int(1 / COMMON_SHARE)).collect()
-    learned = learned.orderBy(F.desc("n_cue"), "word").limit(LIST_WORDS).collect()
-    return Names(set(known) | {r.word for r in learned}, {r.word for r in common})
+    order = [F.desc("n_cue"), F.col("word")]
+    listed = names.orderBy(*order).limit(LIST_WORDS + 1).collect()
+    if len(listed) <= LIST_WORDS:
+        return Names({r.word for r in listed}, {r.word for r in common})
+    last, listed = listed[-2], listed[:-1]
+    rest = names.where((F.col("n_cue") < last.n_cue) | (F.col("n_cue") == last.n_cue) & (F.col("word") > last.word)).select("word")
+    return Names({r.word for r in listed}, {r.word for r in common}, rest)
 
 
 # Character classes that a surrogate keeps, as lower-case letters; capitals move with them. Letters that are
@@ -428,17 +468,34 @@ def surrogate(kind: str, mention: str, key: bytes) -> str:
     return "".join(out)
 
 
+def _with_rest(df: DataFrame, id_col: str, text: str, names: Names) -> DataFrame:
+    """(id, text, more): more has the given names of names.rest among the words of the text."""
+    kind, given = df.schema[id_col].dataType.simpleString(), df.sparkSession.sparkContext.broadcast(names.given)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in enumerate(b.column(1).to_pylist()):
+                own = sorted({w.lower().encode("utf-8", "replace").decode() for w in TOKEN.findall(t or "")} - given.value)
+                if own:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([k] * len(own))), pa.array(own, pa.string())], ["_id", "word"])
+
+    found = df.select(id_col, text).mapInArrow(words, f"_id {kind}, word string").join(names.rest, "word", "left_semi").groupBy("_id").agg(F.collect_set("word").alias("more"))
+    return df.join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left").select(id_col, text, "more")
+
+
 def _run(df: DataFrame, id_col: str, text: str, names: Names, schema: str, per_text) -> DataFrame:
     lists = df.sparkSession.sparkContext.broadcast((names.given, names.common))  # bounded by LIST_WORDS and COMMON_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Names(*lists.value)
         for b in batches:
-            rows = [r for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in per_text(i, t, own)]
+            more = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            rows = [r for i, t, m in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), more) for r in per_text(i, t, own.plus(m))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [b.schema.field(0).type, *[pa.string()] * (len(rows[0]) - 1)])], [c.split()[0].strip("`") for c in schema.split(",")])
 
-    return df.select(id_col, text).mapInArrow(run, schema)
+    df = df.select(id_col, text)
+    return (df if names.rest is None else _with_rest(df, id_col, text, names)).mapInArrow(run, schema)
 
 
 def mentions(df: DataFrame, id_col: str, text: str, names: Names) -> DataFrame:

@@ -29,8 +29,7 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _names(spark: SparkSession, d: str) -> pii.Names:
-    given = bounded_rows(spark.read.parquet(f"{d}/given_names.parquet").select("given_name"), pii.LIST_WORDS) or []
-    return pii.word_lists(_documents(spark, d), "text", [g.given_name for g in given])
+    return pii.word_lists(_documents(spark, d), "text", spark.read.parquet(f"{d}/given_names.parquet").select("given_name"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:

@@ -173,3 +173,20 @@ def test_a_frequent_surname_is_no_common_word(spark):
     got = pii.mentions(df, "doc_id", "text", names).collect()
     assert {r.mention for r in got if r.doc_id < 900} == {"Jane Keller"} and {r.mention for r in got if r.doc_id == 900} == {"Jane", "Jane Keller"}
     assert not any("Keller" in r.text for r in pii.redact(df, "doc_id", "text", names, b"key").collect())
+
+
+def test_given_names_beyond_the_list_are_joined(spark, tmp_path, monkeypatch):
+    from sweepframe.llm import plans
+
+    names = ["".join("bcdfghjklm"[int(x)] + "aeiou"[int(x) % 5] for x in f"{i:03d}").capitalize() for i in range(60)]
+    rows = [(i, f"we saw {n} Quistfield there, and {names[i - 1]} too; {n.upper()} is well") for i, n in enumerate(names)]
+    rows += [(100 + i, f"thanks, {n} Orlando\n") for i, n in enumerate(["Zukavi", "Wexori", "Yptoni"] * 4)] + [(200, "so Zukavi and Wexori and Yptoni went"), (None, names[7]), (201, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(n,) for n in [*names, None, ""]], "given_name string").write.parquet(f"{tmp_path}/given_names.parquet")
+    want = {tuple(r) for r in plans.p9_found(spark, str(tmp_path)).collect()}
+    text = {r.doc_id: r.text for r in plans.p9_redacted(spark, str(tmp_path)).collect()}
+    assert {m for i, _, m in want if i == 200} == {"Zukavi", "Wexori", "Yptoni"} and len(want) == 3 * 60 + 12 + 3 + 1
+    for bound in (1, 62):
+        monkeypatch.setattr(pii, "LIST_WORDS", bound)
+        assert {tuple(r) for r in plans.p9_found(spark, str(tmp_path)).collect()} == want
+        assert {r.doc_id: r.text for r in plans.p9_redacted(spark, str(tmp_path)).collect()} == text
