@@ -442,29 +442,70 @@ def _place(c: str) -> tuple[str, int, bool] | None:
     return own and (own, own.index(low), low != c)
 
 
+NAME_PART, DISGUISE = regex.compile(r"[\p{L}\p{M}'’]+"), regex.compile(rf"(?P<at>{AT})|{DOT}")
+TRUNK = regex.compile(rf"^(?:\+|00)\d{{1,3}}{SEP}*\((0)\)")
+
+
+def _entities(kind: str, mention: str) -> list[list[tuple[int, str]]]:
+    """What a mention names, apart from how it is written: lists of (position, character); position -1 is written otherwise.
+
+    Names go part by part, e-mail addresses undisguised, all else by letters and digits without what separates them.
+    """
+    if kind == "person_name":
+        return [[(i, mention[i]) for i in range(*m.span()) if _place(mention[i])] for m in NAME_PART.finditer(mention)]
+    if kind == "email":
+        out, at = [], 0
+        for m in [*DISGUISE.finditer(mention), None]:
+            out += [(i, mention[i]) for i in range(at, m.start() if m else len(mention))]
+            if m:
+                out.append((-1, "@" if m["at"] else "."))
+                at = m.end()
+        return [out]
+    trunk = m.start(1) if kind == "phone" and (m := TRUNK.match(mention)) else -1
+    return [[(i, c) for i, c in enumerate(mention) if i != trunk and _place(c)]]
+
+
+def _classes(kind: str, mention: str, entity: list[tuple[int, str]]) -> list[tuple[str, int, bool] | None]:
+    """The place of each character of an entity, None for those that stay. Phone numbers keep 0 and 00 in front."""
+    places = [_place(c) if i >= 0 else None for i, c in entity]
+    if kind == "phone":
+        head = len("".join(c for _, c in entity)) - len("".join(c for _, c in entity).lstrip("0"))
+        head = min(head, 2) if not mention.startswith("+") else 0
+        for k, (i, c) in enumerate(entity):
+            if k < head or k == head and c == "0":
+                places[k] = None
+            elif c in "123456789" and (k == head or mention[i - 1 : i] == "(" and mention[i + 1 : i + 2] == ")"):
+                places[k] = ("123456789", int(c) - 1, False)
+    return places
+
+
 def surrogate(kind: str, mention: str, key: bytes) -> str:
     """A keyed replacement of the same format, different from the mention and for different mentions of one kind and format.
 
-    Each letter or digit, of any script, moves within its class by a keyed hash of the format and of all that stands before
-    it, the first one by at least one place: the mapping can be undone with the key, has no collisions and leaves no mention
-    as it was. Case differences of e-mails and names don't matter for which letter is chosen. A name keeps its last letter
-    where another letter moves; marks stay.
+    The entity (each part of a name, the undisguised e-mail address, else letters and digits alone) gets its letters and
+    digits, of any script, moved within their classes by a keyed hash of the entity's shape and of all that stands before,
+    the first one by at least one place: the mapping can be undone with the key, has no collisions, leaves no mention as it
+    was, and gives an entity the same letters and digits in whatever format it is written. Case, separators, disguise, the
+    0, 00 or + in front of a phone number and its (0) are the format and stay; so does the last letter of a part of a name
+    where another one moves, and marks.
     """
-    folds = kind in ("email", "person_name")
-    places = [_place(c) for c in mention]
-    shape = "".join(c if p is None else p[0][0].upper() if p[2] and not folds else p[0][0] for c, p in zip(mention, places))
-    moving = [i for i, p in enumerate(places) if p]
-    if kind == "person_name" and len(moving) > 1 and moving[-1] == len(mention) - 1:
-        moving.pop()
-    state = hashlib.blake2b(f"{kind}\0{shape}".encode("utf-8", "replace"), key=key, digest_size=16).digest()
-    out, at = list(mention), set(moving)
-    for i, c in enumerate(mention):
-        if i in at:
-            own, k, capital = places[i]
-            shift = int.from_bytes(state[:4])
-            new = own[(k + (1 + shift % (len(own) - 1) if i == moving[0] else shift)) % len(own)]
-            out[i] = new.upper() if capital else new
-        state = hashlib.blake2b(state + (_lower(c) if folds else c).encode("utf-8", "replace"), key=key, digest_size=16).digest()
+    out = list(mention)
+    for entity in _entities(kind, mention):
+        places = _classes(kind, mention, entity)
+        moving = [k for k, p in enumerate(places) if p]
+        first = moving[0] if moving else -1
+        if kind == "person_name" and len(moving) > 1:
+            moving.pop()
+        shape = "".join(c if p is None else p[0][0] for (_, c), p in zip(entity, places)).lstrip("0" if kind == "phone" else "")
+        state, at = hashlib.blake2b(f"{kind}\0{shape}".encode("utf-8", "replace"), key=key, digest_size=16).digest(), set(moving)
+        for k, (i, c) in enumerate(entity):
+            if k in at:
+                own, index, capital = places[k]
+                shift = int.from_bytes(state[:4])
+                new = own[(index + (1 + shift % (len(own) - 1) if k == first else shift)) % len(own)]
+                out[i] = new.upper() if capital else new
+            if k >= first:
+                state = hashlib.blake2b(state + _lower(c).encode("utf-8", "replace"), key=key, digest_size=16).digest()
     return "".join(out)
 
 

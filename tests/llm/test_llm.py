@@ -190,3 +190,31 @@ def test_given_names_beyond_the_list_are_joined(spark, tmp_path, monkeypatch):
         monkeypatch.setattr(pii, "LIST_WORDS", bound)
         assert {tuple(r) for r in plans.p9_found(spark, str(tmp_path)).collect()} == want
         assert {r.doc_id: r.text for r in plans.p9_redacted(spark, str(tmp_path)).collect()} == text
+
+
+def test_coreference_over_formats():
+    for k in range(50):
+        sur = lambda kind, m: pii.surrogate(kind, m, b"key%d" % k)
+        anna, schmidt = sur("person_name", "Anna"), sur("person_name", "Schmidt")
+        assert sur("person_name", "Anna Schmidt") == f"{anna} {schmidt}" and sur("person_name", "SCHMIDT, Anna") == f"{schmidt.upper()}, {anna}"
+        digits = lambda m: re.sub(r"\D", "", sur("phone", m))
+        assert len({digits(m) for m in ("(503) 555-0104", "503-555-0104", "503.555.0104", "5035550104")}) == 1
+        plain = digits("+49 30 901820")
+        assert digits("+49 (0)30 90-18-20") == plain[:2] + "0" + plain[2:] and digits("0049 30/901820") == "00" + plain and digits("+4930901820") == plain
+        mail = sur("email", "orla.quist+x@lab.example")
+        name, domain = mail.split("@")
+        assert sur("email", "Orla.Quist+x [at] lab [dot] example").lower() == f"{name} [at] {domain.split('.')[0]} [dot] {domain.split('.')[1]}"
+        assert re.sub("-", "", sur("id_number", "940-21-6160")) == sur("id_number", "940216160")
+
+
+@given(st.sets(st.text("0012+() -", min_size=3, max_size=7).filter(lambda m: m.strip("0+() -")), min_size=2, max_size=80))
+@settings(max_examples=200, deadline=None)
+def test_surrogates_of_phones_stay_distinct(mentions):
+    out = {m: pii.surrogate("phone", m, b"k") for m in mentions}
+    assert len(set(out.values())) == len(out)
+
+
+@given(st.sets(st.lists(st.sampled_from(["a", "b", "o", "at", "dot", " at ", " dot ", "@", ".", "[at]", "-", "+"]), min_size=1, max_size=6).map("".join), min_size=2, max_size=60))
+@settings(max_examples=100, deadline=None)
+def test_surrogates_of_addresses_stay_distinct(mentions):
+    assert len({pii.surrogate("email", m, b"k") for m in mentions}) == len(mentions)
