@@ -77,7 +77,9 @@ def ridge_cv(df: DataFrame, id_col: str, vector: str, label: str, fold: Column,
     marks = landmarks(df, id_col, vector, n)
     t = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).select(vector, F.col(label).cast("bigint").alias("label"), fold.cast("int").alias("fold"))
     classes = np.array(sorted(r[0] for r in t.select("label").distinct().limit(1001).collect()))
-    if not len(marks) or not len(classes) or len(classes) > 1000:
+    if len(classes) > 1000:
+        raise ValueError("more than 1,000 labels")
+    if not len(marks) or not len(classes):
         return spark.createDataFrame([], "fold int, n bigint, accuracy double")
     values, vectors = np.linalg.eigh(_rbf(marks, marks, gamma))
     whiten = vectors / np.sqrt(np.maximum(values, 1e-10))
@@ -114,19 +116,42 @@ def ridge_cv(df: DataFrame, id_col: str, vector: str, label: str, fold: Column,
 
 
 def principal_components(df: DataFrame, id_col: str, vector: str, gamma: float, n: int = LANDMARKS) -> DataFrame:
-    """(id, pc1, pc2): kernel principal components through the Nystrom map, centred over the landmarks; sign: largest weight positive."""
+    """(id, pc1, pc2): kernel principal components of all rows in Nystrom features; sign: largest weight positive.
+
+    Every task sums mean and second moments of its rows' features; the driver adds them up (landmarks squared, whatever the
+    data) and decomposes their covariance. The landmarks only span the features.
+    """
     marks = landmarks(df, id_col, vector, n)
     kind = df.schema[id_col].dataType.simpleString()
-    k = _rbf(marks, marks, gamma)
-    centre = k.mean(0)
-    values, vectors = np.linalg.eigh(k - centre[None, :] - centre[:, None] + k.mean())
-    top = vectors[:, ::-1][:, :2]
-    top = top * np.sign(top[np.abs(top).argmax(0), range(2)]) / np.sqrt(np.maximum(values[::-1][:2], 1e-12))
+    rows = df.where(F.col(vector).isNotNull()).select(id_col, vector)
+    if not len(marks):
+        return rows.select(id_col, F.lit(0.0).alias("pc1"), F.lit(0.0).alias("pc2"))
+    values, vectors = np.linalg.eigh(_rbf(marks, marks, gamma))
+    whiten = vectors / np.sqrt(np.maximum(values, 1e-10))
+    m = whiten.shape[1]
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((m + 1, m + 1))
+        for b in batches:
+            x = np.hstack([_rbf(_matrix(b.column(0)), marks, gamma) @ whiten, np.ones((b.num_rows, 1))]) if b.num_rows else np.zeros((0, m + 1))
+            sums += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(x, np.float64) for b in batches for x in b.column(0).to_pylist())
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    parts = rows.select(vector).mapInArrow(moments, "sums binary").coalesce(16).mapInArrow(add, "sums binary").collect()
+    sums = sum(np.frombuffer(r.sums, np.float64) for r in parts).reshape(m + 1, m + 1)
+    centre = sums[m, :m] / sums[m, m]
+    top = np.linalg.eigh(sums[:m, :m] / sums[m, m] - np.outer(centre, centre))[1][:, ::-1][:, :2]
+    top = np.hstack([top, np.zeros((m, 2 - top.shape[1]))])  # one landmark has one component
+    top = top * np.where(top[np.abs(top).argmax(0), range(2)] < 0, -1, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = _rbf(_matrix(b.column(1)), marks, gamma)
-            pc = (x - x.mean(1, keepdims=True) - centre[None, :] + k.mean()) @ top
+            pc = (_rbf(_matrix(b.column(1)), marks, gamma) @ whiten - centre) @ top if b.num_rows else np.zeros((0, 2))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pc[:, 0]), pa.array(pc[:, 1])], [id_col, "pc1", "pc2"])
 
-    return df.where(F.col(vector).isNotNull()).select(id_col, vector).mapInArrow(run, f"`{id_col}` {kind}, pc1 double, pc2 double")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, pc1 double, pc2 double")

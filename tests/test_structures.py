@@ -196,3 +196,23 @@ def test_anova_and_glm(spark):
     assert out["f"][0] == 1 and abs(out["f"][1] - one.ss_between) < 1e-6 and out["g"][0] == 2 and out["residuals"][0] == 116
     g = stats.glm(df.withColumn("y", F.exp("v")).withColumn("q", (F.col("f") == "b").cast("double")), "y", [("q",)], "gamma", "log")
     assert g[0][0] == "(intercept)" and g[1][1] > 0.5
+
+
+def test_components_are_those_of_all_rows(spark):
+    r = np.random.default_rng(3)
+    v = {i: r.normal(size=3) for i in range(300)}
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()] + [(999, None)], "id long, v array<double>")
+    got = {g.id: (g.pc1, g.pc2) for g in kernels.principal_components(df, "id", "v", 0.05, 100).collect()}
+    x = np.array([v[i] for i in range(300)])
+    k = kernels._rbf(x, x, 0.05)
+    k = k - k.mean(0) - k.mean(1)[:, None] + k.mean()
+    values, vectors = np.linalg.eigh(k)
+    pc = np.array([got[i] for i in range(300)])
+    assert len(got) == 300 and np.abs(pc.mean(0)).max() < 1e-6
+    for j in (0, 1):
+        want = vectors[:, -1 - j] * np.sqrt(values[-1 - j])
+        assert min(np.abs(pc[:, j] - want).max(), np.abs(pc[:, j] + want).max()) < 0.02
+    many = df.withColumn("y", F.col("id")).where("v is not null").withColumn("y", F.explode(F.sequence(F.col("y") * 4, F.col("y") * 4 + 3)))
+    with pytest.raises(ValueError):
+        kernels.ridge_cv(many, "id", "v", "y", F.lit(0), 3, 0.1)
+    assert kernels.principal_components(df.limit(0), "id", "v", 0.1).count() == 0
