@@ -8,7 +8,7 @@ before it in its series.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import canonical_names, name_key, strip
@@ -54,6 +54,23 @@ def tagged_rows(files: DataFrame, eav: DataFrame, types: DataFrame, aliases: Dat
     return files.join(per_file, "path", "left")
 
 
+def tagged_values(eav: DataFrame, types: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(path, reading, fields): the tagged maps of the attribute rows of each path, with values and their type tags.
+
+    Reading 1 has one value of each parameter; if the rows of a path disagree, further values are in further readings.
+    """
+    table = canonical_names(types, aliases)
+    if table is None:
+        raise ValueError("parameter_types and parameter_aliases must be small dimension tables")
+    rows = eav.where(F.col("path").isNotNull() & (strip(F.col("path")) != "") & F.col("parameter").isNotNull())
+    rows = rows.select("path", table[name_key(F.col("parameter"))].alias("parameter"), strip(F.col("parameter")).alias("spelling"), strip(F.col("value")).alias("raw")).where("parameter is not null")
+    values = rows.groupBy("path", "parameter", "raw").agg(F.array_sort(F.collect_set("spelling")).alias("spellings"))
+    w = Window.partitionBy("path", "parameter").orderBy(F.col("raw").asc_nulls_last())  # the values of one parameter of one file
+    values = values.withColumn("reading", F.row_number().over(w)).where("raw is not null or reading = 1")
+    field = F.struct("parameter", "spellings", F.array_compact(F.array(type_tag(F.col("raw")))).alias("tags"), "raw")
+    return values.groupBy("path", "reading").agg(F.array_sort(F.collect_list(field)).alias("fields"))
+
+
 def changes(files: DataFrame, series: list[str], order: list[str], id_col: str, target: int = CHUNK_ROWS) -> DataFrame:
     """(id, parameter, change) between each file and the last one before it that has fields.
 
@@ -78,26 +95,36 @@ def changes(files: DataFrame, series: list[str], order: list[str], id_col: str,
     return each.select(id_col, "f.parameter", F.explode(found).alias("change"))
 
 
-def alternatives(files: DataFrame) -> DataFrame:
-    """(parameter, tag, n_files): the fused schema with every alternative type of each parameter."""
-    return files.select(F.explode("fields").alias("f")).select("f.parameter", F.explode("f.tags").alias("tag")).groupBy("parameter", "tag").agg(F.count("*").alias("n_files"))
+def alternatives(files: DataFrame, file: str | None = None) -> DataFrame:
+    """(parameter, tag, n_files): the fused schema with every alternative type of each parameter; rows of one file count once."""
+    n = F.count_distinct(file) if file else F.count("*")
+    return files.select(*[file] * bool(file), F.explode("fields").alias("f")).select(*[file] * bool(file), "f.parameter", F.explode("f.tags").alias("tag")).groupBy("parameter", "tag").agg(n.alias("n_files"))
 
 
-def unified(files: DataFrame, kinds: dict[str, str], keep: list[str]) -> DataFrame:
-    """One row per file: keep, one canonical typed column per parameter and a text branch <parameter>__<tag> per alternative.
+def unified(files: DataFrame, kinds: dict[str, str], keep: list[str], written: Column | None = None) -> DataFrame:
+    """One row per row of files: keep, one canonical typed column per parameter and a text branch <parameter>__<tag> per alternative.
 
     A value that converts to the parameter's type fills the canonical column; one that does not fills the branch of its
-    tag, as written. Files without a complete header keep their row, with nulls. kinds: parameter -> value_type.
+    tag, as written; the tag of the parameter's own type has a branch if there are such values. Files without a complete
+    header keep their row, with nulls. kinds: parameter -> value_type. written: where values are YAML (quoted, lists), all if None.
     """
     tag_of = {"integer": "integer", "double": "float", "boolean": "boolean", "text": "string"}
-    seen = sorted({(r.parameter, r.tag) for r in alternatives(files).collect()})  # parameters times five tags at most
+    written = F.lit(True) if written is None else written
+    files = materialise(files, "tagged")  # parsed once
+    seen = {(r.parameter, r.tag) for r in alternatives(files).collect()}  # parameters times five tags at most
 
     def raw(name: str) -> Column:
         return F.get(F.filter("fields", lambda f: f["parameter"] == name), F.lit(0))["raw"]
 
+    def plain(value: Column) -> Column:
+        return F.when(written, unquote(value)).otherwise(value)
+
     field = {p: raw(p) for p in kinds}
     files = staged(files, **{f"_raw_{p}": field[p] for p in kinds})
-    files = staged(files, **{f"_canonical_{p}": F.when(~F.col(f"_raw_{p}").startswith("["), parsed(strip(unquote(F.col(f"_raw_{p}"))), k)) for p, k in kinds.items()})
+    files = staged(files, **{f"_canonical_{p}": F.when(~written | ~F.col(f"_raw_{p}").startswith("["), parsed(strip(plain(F.col(f"_raw_{p}"))), k)) for p, k in kinds.items()})
     field, canonical = {p: F.col(f"_raw_{p}") for p in kinds}, {p: F.col(f"_canonical_{p}") for p in kinds}
-    branches = [F.when(canonical[p].isNull() & (type_tag(field[p]) == t), unquote(field[p])).alias(f"{p}__{t}") for p, t in seen if p in kinds and t != tag_of[kinds[p]]]
+    own = {p: canonical[p].isNull() & (type_tag(field[p]) == tag_of[k]) for p, k in kinds.items()}
+    unlike = files.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(p) for p, c in own.items()]).first().asDict() if kinds else {}
+    seen = sorted((p, t) for p, t in seen if p in kinds and (t != tag_of[kinds[p]] or unlike[p]))
+    branches = [F.when(canonical[p].isNull() & (type_tag(field[p]) == t), plain(field[p])).alias(f"{p}__{t}") for p, t in seen]
     return files.select(*keep, *[c.alias(p if p not in keep else f"{p}_value") for p, c in canonical.items()], *branches)

@@ -164,3 +164,24 @@ def test_zone_estimate(spark):
     df = spark.createDataFrame(rows, "g string, v string, s string").withColumn("seen", F.col("s").cast("timestamp_ntz"))
     got = timestamps.estimate_zones(df, ["g"], "v", "seen", ["UTC", "Asia/Tokyo", "America/New_York"]).collect()
     assert [(r.g, r.zone, r.n_times, r.violations) for r in got] == [("a", "Asia/Tokyo", 19, 0)]
+
+
+def test_catalogue_and_headers_in_one_table(spark, names, tmp_path):
+    from sweepframe.plans import record_queries
+
+    files = [(1, "e", "s", "p", "# N: 0x1F\n# alpha: .inf\n"), (2, "e", "s", "q", "# N: 99999999999999999999999\n"), (3, "e", "s", "r", None)]
+    spark.createDataFrame(files, "file_id long, experiment string, step string, path string, yaml string").withColumn("written_at", F.current_timestamp()).write.parquet(f"{tmp_path}/trace_files.parquet")
+    data = [("s", "p", "N", "5"), ("s", "p", "nodes", "7"), ("s", "p", "N", None), ("s", "lone", "alpha", "much"), ("s", "lone", "model", "[x"), ("s", None, "N", "1"), ("s", "none", "N", None)]
+    spark.createDataFrame(data, "step string, path string, parameter string, value string").write.parquet(f"{tmp_path}/expt_data.parquet")
+    for name, t in zip(("parameter_types", "parameter_aliases"), names):
+        t.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = record_queries.p1_unified(spark, str(tmp_path)).collect()
+    got = {(r.path, r.origin, r.reading): r for r in out}
+    assert len(out) == len(got) == 7 and {k[0] for k in got} == {"p", "q", "r", "lone", "none"}
+    assert {got["p", "data", k].N for k in (1, 2)} == {5, 7} and got["p", "data", 1].file_id == 1 and got["lone", "data", 1].file_id is None
+    lone = got["lone", "data", 1]
+    assert lone.alpha is None and lone.alpha__string == "much" and lone.model == "[x" and got["none", "data", 1].N is None
+    h = got["p", "yaml", 1].asDict()
+    assert h["N"] is None and "0x1F" in h.values() and ".inf" in h.values() and "99999999999999999999999" in got["q", "yaml", 1].asDict().values()
+    alt = {(r.parameter, r.tag): r.n_files for r in record_queries.p1_alternatives(spark, str(tmp_path)).collect()}
+    assert alt["alpha", "string"] == 1 and alt["N", "integer"] == 2
