@@ -33,7 +33,8 @@ def stale(md5: DataFrame, dependencies: DataFrame) -> DataFrame:
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1_000) -> DataFrame:
-    """(node, depth): all nodes reachable from seeds (column node, depth 0) along edges (src, dst), with the least depth.
+    """(node, depth): all nodes reachable from seeds (column node, depth 0) along edges (src, dst), with the least depth; raises if
+    max_rounds end before a round finds nothing new.
 
     Breadth first: one join a round, only with the newest nodes; each round is written to the shared folder, which cuts
     the lineage and survives lost executors. Cycles and diamonds are visited once.
@@ -45,9 +46,9 @@ def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1_000) -> Data
         step = front.select("node").join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = materialise(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+    raise ValueError("the closure is deeper than max_rounds")
 
 
 def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1_000) -> DataFrame:

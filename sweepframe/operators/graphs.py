@@ -51,6 +51,8 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise ValueError("the components need more than max_rounds")
     return nodes.join(e.select(F.col("hi").alias("node"), F.col("lo").alias("c")), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
 
 

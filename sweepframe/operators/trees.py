@@ -152,6 +152,8 @@ def prune(nodes: DataFrame, drop: DataFrame, max_rounds: int = 1_000) -> DataFra
         if empty.isEmpty():
             break
         left = materialise(left.join(empty, ["tree", "node"], "left_anti"), "prune")
+    else:
+        raise ValueError("more levels to remove than max_rounds")
     for _ in range(max_rounds):
         single = left.where("parent is not null").groupBy("tree", "parent").agg(F.count("*").alias("k"), F.first("node").alias("_kid")).where("k = 1").select("tree", F.col("parent").alias("node"))
         if single.isEmpty():
@@ -162,4 +164,6 @@ def prune(nodes: DataFrame, drop: DataFrame, max_rounds: int = 1_000) -> DataFra
         rest = left.join(head.select("tree", "node"), ["tree", "node"], "left_anti").join(up, ["tree", "parent"], "left")
         moved = F.col("_len").isNotNull()
         left = materialise(rest.select("tree", "node", F.when(moved, F.col("_up")).otherwise(F.col("parent")).alias("parent"), F.when(moved & F.col("_up").isNull(), 0.0).when(moved, F.col("length") + F.col("_len")).otherwise(F.col("length")).alias("length")), "prune")
+    else:
+        raise ValueError("longer chains to contract than max_rounds")
     return left

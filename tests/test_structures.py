@@ -216,3 +216,18 @@ def test_components_are_those_of_all_rows(spark):
     with pytest.raises(ValueError):
         kernels.ridge_cv(many, "id", "v", "y", F.lit(0), 3, 0.1)
     assert kernels.principal_components(df.limit(0), "id", "v", 0.1).count() == 0
+
+
+def test_unfinished_rounds_raise(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(3)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert catalogue.closure(edges, seeds, 4).count() == 4
+    with pytest.raises(ValueError):
+        catalogue.closure(edges, seeds, 3)
+    with pytest.raises(ValueError):
+        graphs.components(edges, 1)
+    nodes = spark.createDataFrame([("t", "a", None, 0.0), ("t", "b", "a", 1.0), ("t", "c", "b", 1.0), ("t", "d", "a", 1.0), ("t", "e", "a", 1.0)], "tree string, node string, parent string, length double")
+    drop = spark.createDataFrame([("t", "c")], "tree string, node string")
+    assert {r.node for r in trees.prune(nodes, drop, 2).collect()} == {"a", "d", "e"}
+    with pytest.raises(ValueError):
+        trees.prune(nodes, drop, 1)
