@@ -123,6 +123,7 @@ def unified(files: DataFrame, kinds: dict[str, str], keep: list[str], written: C
     files = staged(files, **{f"_raw_{p}": field[p] for p in kinds})
     files = staged(files, **{f"_canonical_{p}": F.when(~written | ~F.col(f"_raw_{p}").startswith("["), parsed(strip(plain(F.col(f"_raw_{p}"))), k)) for p, k in kinds.items()})
     field, canonical = {p: F.col(f"_raw_{p}") for p in kinds}, {p: F.col(f"_canonical_{p}") for p in kinds}
+    files = materialise(files, "canonical")  # converted once
     own = {p: canonical[p].isNull() & (type_tag(field[p]) == tag_of[k]) for p, k in kinds.items()}
     unlike = files.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(p) for p, c in own.items()]).first().asDict() if kinds else {}
     seen = sorted((p, t) for p, t in seen if p in kinds and (t != tag_of[kinds[p]] or unlike[p]))
