@@ -1,7 +1,7 @@
 """Overlapping and gapped intervals: continuous periods and the gaps between them, per entity.
 
 Method: an ordered disjoint-interval map per entity in keyed state; each insertion finds the overlapped stretch by
-binary search, merges it and so updates the gaps. Rows are hashed by entity (and by chunk of the start for entities
+binary search, merges it and so updates the gaps. Rows are hashed by entity (and by chunk of the starts for entities
 above CHUNK_ROWS rows), sorted by that key within the partition, and streamed through one map at a time. Periods of
 entities that were cut into chunks are stitched across chunk borders afterwards.
 """
@@ -110,11 +110,11 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, target: i
     """
     lo, hi = F.least(F.col(start), F.col(end)).cast("bigint"), F.greatest(F.col(start), F.col(end)).cast("bigint")
     rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull()).select(F.col(entity).alias("entity"), lo.alias("lo"), hi.alias("hi"))
-    c = chunked(rows, ["entity"], "lo", target)
+    c = chunked(rows, ["entity"], ["lo", "hi"], target)
     if c.hot is None:
         out = _maps(c.rows, True)
     else:
-        keys = F.broadcast(c.hot.select(F.col("_k0"))) if c.hot.limit(10_001).count() <= 10_000 else c.hot.select("_k0")
+        keys = F.broadcast(c.hot)  # MAX_CHUNKS rows at most
         on = F.col("entity").eqNullSafe(F.col("_k0"))
         out = _maps(c.rows.join(keys, on, "left_anti"), True).drop(CHUNK)
         out = out.unionByName(_stitch(_maps(c.rows.join(keys, on, "left_semi"), False).drop("kind"), target))

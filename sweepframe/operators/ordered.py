@@ -1,7 +1,7 @@
 """Ordered operators (previous row, running totals) over groups of any size.
 
 A plain window sorts one group in one task. Here groups above `target` rows are cut into chunks along the ordering
-column; windows run per chunk and only one carry row per chunk is exchanged between chunks.
+columns; windows run per chunk and only one carry row per chunk is exchanged between chunks.
 """
 
 from __future__ import annotations
@@ -11,45 +11,64 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stage import micros
-from ..session import DIMENSION_ROWS
+from ..session import materialise
 
 #: Rows of one group that one task handles; larger groups are cut.
 CHUNK_ROWS = 100_000
+#: Most chunks of all cut groups together (chunks grow beyond it) and rows drawn to place one cut: they bound what is broadcast.
+MAX_CHUNKS, DRAWN = 20_000, 32
 CHUNK = "_chunk"
+BLOCK = 64
 
 
 @dataclass
 class Chunked:
-    """rows: df with the column _chunk (0 for groups that are not cut); hot: the cut groups, None if there are none."""
+    """rows: df with the column _chunk (0 for groups that are not cut); hot: the keys of the cut groups (_k0, _k1, ...), None if there are none."""
 
     rows: DataFrame
     hot: DataFrame | None
 
 
-def chunked(df: DataFrame, keys: list[str], order: str, target: int = CHUNK_ROWS) -> Chunked:
-    """Add _chunk so that no (keys, _chunk) holds much more than target rows and chunks are ranges of order.
+def _chunk_of(x: Column) -> Column:
+    """How many of the sorted _bounds are at most x: blocks first, then inside one block."""
+    before = F.size(F.filter("_heads", lambda b: b <= x)) - 1
+    inside = F.size(F.filter(F.slice("_bounds", F.greatest(before, F.lit(0)) * BLOCK + 1, BLOCK), lambda b: b <= x))
+    return F.when(before < 0, 0).otherwise(before * BLOCK + inside)
 
-    Counts every group (partial aggregation, one small row per group) and looks only for those above target. Null
-    order values and ties stay together, in the first chunk and in one chunk. Rows are neither dropped nor reordered.
+
+def chunked(df: DataFrame, keys: list[str], order: list[str], target: int = CHUNK_ROWS) -> Chunked:
+    """Add _chunk so that no (keys, _chunk) holds much more than target rows and chunks are ranges of order, a column list
+    of any types, nulls first.
+
+    Counts every group (partial aggregation, one small row per group) and looks only for those above target. These are cut
+    at quantiles of the order columns, estimated from about DRAWN rows a chunk, so outliers and skewed values don't matter;
+    a wrong estimate changes the size of chunks only. Rows that are equal in all order columns stay together. Rows are
+    neither dropped nor reordered.
     """
-    x = (micros(df, order) if df.schema[order].dataType.typeName().startswith("timestamp") else F.col(order)).cast("double")
-    stats = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi")).where(F.col("_n") > target)
-    found = stats.limit(DIMENSION_ROWS + 1).collect()
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > target)
+    found = counts.limit(MAX_CHUNKS + 1).collect()
     if not found:
         return Chunked(df.withColumn(CHUNK, F.lit(0)), None)
-    hot = df.sparkSession.createDataFrame(found, stats.schema) if len(found) <= DIMENSION_ROWS else stats
-    hot = hot.withColumns({f"_k{i}": F.col(k) for i, k in enumerate(keys)}).drop(*keys)
-    on = None
-    for i, k in enumerate(keys):
-        part = F.col(k).eqNullSafe(F.col(f"_k{i}"))
-        on = part if on is None else on & part
-    cut = F.ceil(F.col("_n") / target)
-    at = F.floor((x - F.col("_lo")) / F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1.0)) * cut)
-    chunk = F.coalesce(F.least(at, cut - 1), F.lit(0)).cast("int")
-    side = F.broadcast(hot) if len(found) <= DIMENSION_ROWS else hot
-    rows = df.join(side, on, "left").withColumn(CHUNK, F.when(F.col("_n").isNull(), 0).otherwise(chunk))
-    return Chunked(rows.drop("_n", "_lo", "_hi", *[f"_k{i}" for i in range(len(keys))]), hot)
+    if len(found) > MAX_CHUNKS:  # more than MAX_CHUNKS times target rows: cut into larger chunks
+        target = -(-counts.agg(F.sum("_n")).first()[0] // MAX_CHUNKS)
+        found = counts.where(F.col("_n") > target).collect()
+        if not found:
+            return Chunked(df.withColumn(CHUNK, F.lit(0)), None)
+    target = max(target, -(-sum(r["_n"] for r in found) // MAX_CHUNKS))
+    own = [f"_k{i}" for i in range(len(keys))]
+    hot = df.sparkSession.createDataFrame(found, counts.schema).toDF(*own, "_n").withColumn("_cut", F.ceil(F.col("_n") / target))
+    on = F.lit(True)
+    for k, o in zip(keys, own):
+        on = on & F.col(k).eqNullSafe(F.col(o))
+    x = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
+    drawn = df.join(F.broadcast(hot), on).where(F.rand(17) * F.col("_n") < F.col("_cut") * DRAWN).select(*own, "_cut", x.alias("_x"))
+    some = drawn.groupBy(*own).agg(F.max("_cut").alias("_cut"), F.sort_array(F.collect_list("_x")).alias("_all"))
+    pick = F.transform(F.sequence(F.lit(1), F.col("_cut")), lambda i: F.get("_all", F.floor(F.size("_all") * i / F.col("_cut")).cast("int")))
+    some = some.select(*own, F.array_distinct(F.array_compact(pick)).alias("_bounds"))
+    # written once: every later use sees the same cuts
+    some = materialise(some.withColumn("_heads", F.filter("_bounds", lambda b, i: i % BLOCK == 0)), "chunks")
+    rows = df.join(F.broadcast(some), on, "left").withColumn(CHUNK, F.coalesce(_chunk_of(x), F.lit(0)).cast("int"))
+    return Chunked(rows.drop("_bounds", "_heads", *own), some.select(*own))
 
 
 def _same(a: str, b: str, names: list[str]) -> Column:
@@ -62,9 +81,9 @@ def _same(a: str, b: str, names: list[str]) -> Column:
 def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str], out: str = "previous", target: int = CHUNK_ROWS) -> DataFrame:
     """Add the struct column out: cols of the row before, by order, within keys; null for the first row.
 
-    The last entries of order must break ties. The first of order cuts groups above target rows into chunks.
+    The last entries of order must break ties. Groups above target rows are cut into chunks along order.
     """
-    c = chunked(df, keys, order[0], target)
+    c = chunked(df, keys, order, target)
     value = F.struct(*cols)
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order)
     rows = c.rows.withColumn(out, F.lag(value).over(w))
@@ -78,7 +97,7 @@ def previous(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
 
 def _running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], target: int, fold, join) -> DataFrame:
     temp = {f"_v{i}": v for i, v in enumerate(values.values())}
-    c = chunked(df.withColumns(temp), keys, order[0], target)
+    c = chunked(df.withColumns(temp), keys, order, target)
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = c.rows.withColumns({n: fold(t).over(w) for n, t in zip(values, temp)})
     if c.hot is None:
@@ -103,7 +122,7 @@ def running_max(df: DataFrame, keys: list[str], order: list[str], values: dict[s
 
 def last_known(df: DataFrame, keys: list[str], order: list[str], value: str, out: str, target: int = CHUNK_ROWS) -> DataFrame:
     """Add out: the last non-null value at or before the row, by order within keys (an as-of lookup after a union)."""
-    c = chunked(df, keys, order[0], target)
+    c = chunked(df, keys, order, target)
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = c.rows.withColumn(out, F.last(value, ignorenulls=True).over(w))
     if c.hot is None:

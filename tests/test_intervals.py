@@ -1,3 +1,4 @@
+import os
 import random
 
 import pytest
@@ -5,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sweepframe.operators.intervals import IntervalMap, periods_and_gaps
-from sweepframe.operators.ordered import previous, running_sum
+from sweepframe.operators.ordered import chunked, last_known, previous, running_max, running_sum
 
 
 def brute(rows):
@@ -64,3 +65,32 @@ def test_previous_and_running_sum_in_chunks(spark, target):
             total += i
             assert before[i] == (own[n - 1][1] if n else None)
             assert sums[i] == total
+
+
+@pytest.mark.parametrize("kind", ["outlier", "text", "nulls", "stamps", "fractions"])
+def test_cut_groups_of_any_order_type(spark, kind):
+    """Cut groups equal uncut ones, nulls come first, and no chunk is much above target whatever the values are."""
+    r = random.Random(5)
+    value = {"outlier": lambda i: 10**12 if i == 7 else i % 40, "text": lambda i: f"run-{i % 300:04d}", "nulls": lambda i: None if i % 3 == 0 else i, "stamps": lambda i: f"2020-01-{1 + i % 28:02d} 00:00:00", "fractions": lambda i: (i % 11) / 110}[kind]
+    rows = [("hot" if i % 4 else None, value(i), i, r.choice([None, i % 10])) for i in range(2_000)]
+    sql_type = {"outlier": "bigint", "nulls": "bigint", "fractions": "double"}.get(kind, "string")
+    df = spark.createDataFrame(rows, f"k string, t {sql_type}, i bigint, v bigint")
+    df = df.withColumn("t", df.t.cast("timestamp_ntz")) if kind == "stamps" else df
+    biggest = chunked(df, ["k"], ["t", "i"], 100).rows.groupBy("k", "_chunk").count().agg({"count": "max"}).first()[0]
+    assert biggest <= 200
+    out = []
+    for target in (100, 100_000):
+        t = last_known(running_max(running_sum(previous(df, ["k"], ["t", "i"], ["i"], "p", target), ["k"], ["t", "i"], {"s": df.v}, target), ["k"], ["t", "i"], {"m": df.v}, target), ["k"], ["t", "i"], "v", "l", target)
+        out.append(sorted(map(tuple, t.collect()), key=lambda x: x[2]))
+    assert out[0] == out[1]
+    assert sum(x[4] is None for x in out[0]) == 2
+
+
+def test_release_deletes_folders(spark):
+    from sweepframe.session import discard, materialise, release
+
+    a, b = materialise(spark.range(3), "a"), materialise(spark.range(4), "b")
+    where = b.inputFiles()[0].removeprefix("file://")
+    discard(a)
+    assert b.count() == 4 and os.path.exists(where)
+    assert release(spark) >= 1 and not os.path.exists(where)
