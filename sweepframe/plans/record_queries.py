@@ -93,8 +93,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _date_qualifiers(spark: SparkSession, d: str) -> DataFrame:
-    records = table(spark, d, "genbank_records").select("record_id", "pmid", "lab_zone", "fetched_at", "record")
-    quals = nested.qualifiers(nested.node_table(records, "record", ["record_id", "pmid", "lab_zone", "fetched_at"]), "record_id", "pmid", "lab_zone", "fetched_at")
+    keep = ["record_id", "gbid", "pmid", "lab_zone", "fetched_at"]
+    quals = nested.qualifiers(nested.node_table(table(spark, d, "genbank_records").select(*keep, "record"), "record", keep), *keep)
     return quals.where(F.lower(F.regexp_replace("name", r"(?U)[\s_\-]+", "")).isin(*DATE_QUALIFIERS))
 
 
@@ -103,9 +103,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_zone_estimates(spark: SparkSession, d: str) -> DataFrame:
-    """Per study the zone that fits its zone-less times best, among the zones that the table declares (a small dimension)."""
-    zones = bounded_rows(table(spark, d, "genbank_records").select(timestamps.known_zone(spark, F.trim("lab_zone")).alias("zone")).where("zone is not null").distinct(), 1_000) or []
-    return timestamps.estimate_zones(_date_qualifiers(spark, d), ["pmid"], "value", "fetched_at", sorted(z.zone for z in zones) or ["UTC"])
+    """The times without any zone, converted by the zone estimated from the deliveries of their sequence, else from their study.
+    Candidates are the zones that the table declares (a small dimension)."""
+    records = table(spark, d, "genbank_records").select("gbid", "pmid", "lab_zone")
+    zones = bounded_rows(records.select(timestamps.known_zone(spark, F.trim("lab_zone")).alias("zone")).where("zone is not null").distinct(), 1_000)
+    if zones is None:
+        raise ValueError("more than 1,000 declared zones")
+    return timestamps.estimate_zones(_date_qualifiers(spark, d), records, ["record_id", "feature_no", "qual_no"], {"gbid": "sequence", "pmid": "study"}, "value", "lab_zone", "fetched_at", sorted(z.zone for z in zones))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

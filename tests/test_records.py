@@ -140,7 +140,7 @@ CASES = [
     ("29-Oct-2017 00:46:22", None, None), ("29-Oct-2017 00:46:22", "Europe/Zurich", ("time", "2017-10-28T22:46:22.000000Z")), ("2017-10-29T02:30", "Europe/Zurich", None), ("2017-03-26 02:30", "Europe/Zurich", None),
     ("2017-10-29T02:30 CEST", "Asia/Tokyo", ("time", "2017-10-29T00:30:00.000000Z")), ("2022-01-22T01:22:29 +0545", None, ("time", "2022-01-21T19:37:29.000000Z")), ("October 25, 2020 at 12:18 am -03:30", None, ("time", "2020-10-25T03:48:00.000000Z")),
     ("20131020T060357 America/Denver", None, ("time", "2013-10-20T12:03:57.000000Z")), ("2019-08-28 03:58 [america/denver]", None, ("time", "2019-08-28T09:58:00.000000Z")), ("2019-08-28 03:58 Mars/Base", "UTC", None), ("2019-08-28 24:10Z", None, None),
-    ("ca. 1988", None, None), ("1987/1989", None, None), ("unknown", "UTC", None), ("", "UTC", None), (None, "UTC", None), ("x" * 100_000, "UTC", None), ("2015-01-01T00:00", "Nowhere/Zone", None),
+    ("ca. 1988", None, None), ("1987/1989", None, None), ("unknown", "UTC", None), ("", "UTC", None), (None, "UTC", None), ("x" * 100_000, "UTC", None), ("2015-01-01T00:00", "Nowhere/Zone", None), ("1.3.2020", None, None), ("3.3.2020", None, ("day", "2020-03-03")), ("13.3.2020", None, ("day", "2020-03-13")), ("3.13.2020", None, ("day", "2020-03-13")),
 ]
 
 
@@ -160,10 +160,21 @@ def test_session_zone_does_not_matter(spark):
 
 
 def test_zone_estimate(spark):
-    rows = [("a", f"2020-01-{d:02d}T12:00:00", f"2020-01-{d:02d} 03:30:00") for d in range(1, 20)] + [("b", "unknown", "2020-01-01 00:00:00")]
-    df = spark.createDataFrame(rows, "g string, v string, s string").withColumn("seen", F.col("s").cast("timestamp_ntz"))
-    got = timestamps.estimate_zones(df, ["g"], "v", "seen", ["UTC", "Asia/Tokyo", "America/New_York"]).collect()
-    assert [(r.g, r.zone, r.n_times, r.violations) for r in got] == [("a", "Asia/Tokyo", 19, 0)]
+    """Lags of months decide nothing by themselves: declared zones of the group do, short lags do, ties abstain."""
+    tokyo = [("t1", "lag", f"2020-01-{d:02d}T12:00:00", f"2020-01-{d:02d} 03:30:00", None) for d in range(1, 20)]
+    months = [("m1", "study", "2020-06-01 12:00", "2021-02-01 00:00:00", None), ("m2", "none", "2020-06-01 12:00", "2021-02-01 00:00:00", None), ("m3", None, "2020-06-01 12:00", "2021-02-01 00:00:00", None)]
+    held = [("m4", "study", "2020-06-01 12:00", "2021-02-01 00:00:00", " america/new_york "), ("m5", "study", "unknown", "2021-02-01 00:00:00", "America/New_York"), ("m6", "study", "unknown", "2021-02-01 00:00:00", "UTC")]
+    own = [("s", "study", "2020-06-01 12:00", "2021-02-01 00:00:00", None), ("s", "study", "unknown", "2021-03-01 00:00:00", "UTC"), ("h", "split", "2020-03-08 02:30", None, None), ("x", "split", None, None, "America/New_York"), ("m7", "study", "unknown", None, "America/New_York"), ("y", "split", None, None, "America/New_York")]
+    rows = [(i, *r) for i, r in enumerate([*tokyo, *months, *held, *own])]
+    df = spark.createDataFrame(rows, "i int, seq string, g string, v string, s string, z string").withColumn("seen", F.col("s").cast("timestamp_ntz")).withColumn("zone", F.lit("clash"))
+    got = {r.i: r for r in timestamps.estimate_zones(df, df, ["i"], {"seq": "sequence", "g": "study"}, "v", "z", "seen", ["UTC", "Asia/Tokyo", "America/New_York"]).collect()}
+    assert all(got[i].zone == "Asia/Tokyo" and got[i].share is None for i in range(19)) and got[0].normal == "2020-01-01T03:00:00.000000Z"
+    assert (got[19].zone, got[19].basis, got[19].share, got[19].normal) == ("America/New_York", "study", 0.6, "2020-06-01T16:00:00.000000Z")
+    assert [got[i].zone for i in (20, 21)] == [None, None] and got[20].normal is None
+    assert (got[25].zone, got[25].basis, got[25].normal) == ("UTC", "sequence", "2020-06-01T12:00:00.000000Z")
+    assert (got[27].zone, got[27].normal) == ("America/New_York", None)  # that zone skips the hour
+    assert sorted(got) == [*range(19), 19, 20, 21, 25, 27]
+    assert timestamps.estimate_zones(df.limit(0), df, ["i"], {"g": "study"}, "v", "z", "seen", ["UTC"]).collect() == []
 
 
 def test_catalogue_and_headers_in_one_table(spark, names, tmp_path):
