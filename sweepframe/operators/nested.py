@@ -41,26 +41,28 @@ GBSEQ_WRAPPERS = ("GBSet", "GBSeq")
 SCHEMA = "node_type string, pre bigint, post bigint, ordinal bigint, parent_pre bigint, parent_ordinal bigint, fields array<string>"
 
 
-def _unwrap(x, keys: tuple[str, ...]):
-    """The object inside lists of one, wrappers and JSON kept as text; None if there is none."""
-    for _ in range(32):
+def _unwrap(x, keys: tuple[str, ...]) -> list[dict]:
+    """The objects inside lists, wrappers and JSON kept as text, at any depth, in the order delivered."""
+    out, open_ = [], [x]
+    while open_:
+        x = open_.pop()
         if isinstance(x, list):
-            x = next((e for e in x if e is not None), None)
+            open_.extend(reversed(x))
         elif isinstance(x, dict) and (k := next((k for k in keys if k in x), None)):
-            x = x[k]
+            open_.append(x[k])
+        elif isinstance(x, dict):
+            out.append(x)
         elif isinstance(x, str):
             try:
-                x = json.loads(x)
+                open_.append(json.loads(x))
             except ValueError:
-                return None
-        else:
-            break
-    return x if isinstance(x, dict) else None
+                pass
+    return out
 
 
 def _elements(x, wrapper: str) -> list:
     """The elements in the order delivered: a list, a lone object, either of them wrapped or as JSON text."""
-    for _ in range(8):
+    while True:
         if isinstance(x, str):
             try:
                 x = json.loads(x)
@@ -69,18 +71,19 @@ def _elements(x, wrapper: str) -> list:
         elif isinstance(x, dict) and wrapper in x:
             x = x[wrapper]
         else:
-            break
-    return [] if x is None else x if isinstance(x, list) else [x]
+            return [] if x is None else x if isinstance(x, list) else [x]
 
 
 def _text(v) -> str | None:
     return v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
 
 
-def _label(root, top: tuple[NodeType, ...], clock: int, out: list[list]) -> int:
-    """Depth-first over one record; appends (type, pre, post, ordinal, fields) per node, returns the next number."""
-    stack = [(root, t) for t in reversed(top)]
-    pending: list[tuple] = [("scan", x, t) for x, t in stack]
+def _label(roots: list[dict], top: tuple[NodeType, ...], clock: int, out: list[list]) -> int:
+    """Depth-first over one record; appends (type, pre, post, ordinal, fields) per node, returns the next number.
+
+    Several roots (a record delivered as a list of objects) are one: their nodes are numbered on.
+    """
+    pending: list[tuple] = [("scan", roots, t) for t in reversed(top)]
     clock += 1
     while pending:
         what, x, t = pending.pop()
@@ -88,7 +91,7 @@ def _label(root, top: tuple[NodeType, ...], clock: int, out: list[list]) -> int:
             out[2][x] = clock
             clock += 1
         elif what == "scan":
-            items = [(n, e) for n, e in enumerate(_elements(x.get(t.path), t.wrapper), 1) if isinstance(e, dict)]
+            items = [(n, e) for n, e in enumerate((e for r in x for e in _elements(r.get(t.path), t.wrapper)), 1) if isinstance(e, dict)]
             pending.extend(("open", item, t) for item in reversed(items))
         else:
             n, e = x
@@ -96,7 +99,7 @@ def _label(root, top: tuple[NodeType, ...], clock: int, out: list[list]) -> int:
             out[4].append([_text(e.get(f)) for f in t.fields])
             clock += 1
             pending.append(("close", len(out[0]) - 1, t))
-            pending.extend(("scan", e, c) for c in reversed(t.children))
+            pending.extend(("scan", [e], c) for c in reversed(t.children))
     return clock + 1
 
 
@@ -121,26 +124,31 @@ def node_table(df: DataFrame, record: str, keep: list[str], types: tuple[NodeTyp
     """One row per node of the JSON column record: keep, node_type, pre, post, ordinal, parent_pre, parent_ordinal, fields.
 
     ordinal counts from 1 in the order delivered: a lone object is 1, a null element is no row but keeps its number.
-    Null, empty, broken or incomplete JSON and records without the keys give no rows; other columns are ignored.
+    pre and post count from 1 within the record, whatever the partitions. Null, empty, broken or incomplete JSON, JSON
+    nested deeper than the parser's recursion limit and records without the keys give no rows; other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             source: list[int] = []
+            base: list[int] = []  # the last number before each node's record
             clock = 1
             for i, raw in enumerate(b.column(b.num_columns - 1).to_pylist()):
                 try:
-                    x = _unwrap(json.loads(raw), wrappers) if raw else None
+                    roots = _unwrap(json.loads(raw), wrappers) if raw else []
                 except (ValueError, RecursionError):
                     continue
-                if x is not None:
-                    clock = _label(x, types, clock, out)
-                    source.extend([i] * (len(out[0]) - len(source)))
+                if roots:
+                    start, clock = clock, _label(roots, types, clock, out)
+                    new = len(out[0]) - len(source)
+                    source.extend([i] * new), base.extend([start] * new)
             if not source:
                 continue
             pre, post, ordinal = (np.array(c, np.int64) for c in out[1:4])
             parent_pre, parent_ordinal = _link(np.array(out[0], object), pre, post, ordinal, types)
+            start = np.array(base, np.int64)
+            pre, post, parent_pre = pre - start, post - start, np.maximum(parent_pre - start, 0)
             kept = b.select(keep).take(pa.array(source))
             more = [pa.array(out[0], pa.string()), pa.array(pre), pa.array(post), pa.array(ordinal), pa.array(parent_pre), pa.array(parent_ordinal), pa.array(out[4], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*kept.columns, *more], [*keep, "node_type", "pre", "post", "ordinal", "parent_pre", "parent_ordinal", "fields"])

@@ -130,6 +130,14 @@ def test_nested(spark):
     kids, up = nodes.where("node_type <> 'feature'").alias("c"), nodes.where("node_type = 'feature'").alias("p")
     assert kids.join(up, F.expr("c.parent_pre = p.pre and c.pre > p.pre and c.post < p.post")).count() >= 5
     assert nested.node_table(df.limit(0), "record", ["record_id"]).count() == 0
+    one, many = (sorted(tuple(r) for r in nodes_of.collect()) for nodes_of in (nested.node_table(df.coalesce(1), "record", ["record_id"]), nested.node_table(df.repartition(7), "record", ["record_id"])))
+    assert one == many and min(r[2] for r in one) == 1  # labels are those of the record
+    deep = json.dumps({"GBSeq_feature-table": {"GBFeature_key": "deep"}})
+    for _ in range(6):
+        deep = json.dumps([[json.dumps({"GBSet": [{"GBSeq": json.loads(deep)}]})]])
+    several = json.dumps([{"GBSeq_feature-table": {"GBFeature_key": "x"}}, None, {"GBSeq_feature-table": [{"GBFeature_key": "y"}]}])
+    got = nested.flat_items(nested.node_table(spark.createDataFrame([(1, deep), (2, several)], "record_id long, record string"), "record", ["record_id"]), "record_id").collect()
+    assert sorted((r.record_id, r.feature_no, r.item) for r in got) == [(1, 1, "deep"), (2, 1, "x"), (2, 2, "y")]
 
 
 CASES = [
