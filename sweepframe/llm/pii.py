@@ -94,6 +94,11 @@ CAP = r"\p{Lu}[\p{L}]*(?:['’](?![sS]\b)\p{L}+)*(?:-\p{L}+(?:['’](?![sS]\b)\p
 ANY = r"\p{L}+(?:['’](?![sS]\b)\p{L}+)*(?:-\p{L}+(?:['’](?![sS]\b)\p{L}+)*)*"
 TOKEN = regex.compile(rf"{ANY}")
 CUE_BEFORE = regex.compile(rf"(?:(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted((re.escape(c) for c in set(LEFT_CUES)), key=len, reverse=True))})|(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.?|\(c\) \d{{4}}|©(?: \d{{4}})?)[\s'\"]{{1,3}}$", regex.I)
+#: What the last word before a cued name must be, so that CUE_BEFORE is tried on few words.
+LAST_WORD = re.compile(r"([^\W\d_]+)[.,:]*$")
+CUE_ENDS = frozenset(LAST_WORD.search(c.lower()).group(1) for c in (*LEFT_CUES, *TITLES))
+CAPITAL = regex.compile(rf"(?<=[\s'\"]){CAP}")
+AFTER_CUED = regex.compile(rf"(?: \p{{Lu}}\.)?(?: (?:{'|'.join(PARTICLES)}))? \p{{Lu}}|[,:]|\s?\n", regex.I)
 NEXT_PART = regex.compile(rf" (?:(\p{{Lu}}\.)(?= )|((?:(?:{'|'.join(PARTICLES)}) ){{0,2}})({ANY}))", regex.I)
 LAST_INITIAL = regex.compile(r" \p{Lu}\.$")
 INVERTED, SECOND = regex.compile(rf", ({ANY})"), regex.compile(rf" (?:({ANY})|\p{{Lu}}\.)")
@@ -102,33 +107,62 @@ PARTICLES_BEFORE = regex.compile(rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{'|'.join(PART
 TITLE_BEFORE = regex.compile(rf"(?<![\p{{L}}])(?:{'|'.join(TITLES)})\.? $")
 
 
-#: What every disguised address and every street address contains; the full patterns run only around these.
-AT_ANCHOR = regex.compile(rf"{AT}(?={LABEL_}(?:{DOT}{LABEL_})*?{DOT}(?:\p{{Ll}}{{2}}|\p{{Lu}}{{2}}))")
-STREET_ANCHOR = regex.compile(rf"(?<![\p{{L}}])(?:{STREET_WORDS}|{STREET_FIRST}|{BOXES})(?![\p{{L}}])|(?<=\p{{L}})(?:{STREET_JOINED})(?= \d)", regex.I)
+# The words at which a full pattern is tried at all, as sets and beginnings of words.
+STREET_SET = frozenset(re.sub(r"\\.\?", "", f"{STREET_WORDS}|{STREET_FIRST}").split("|")) | {"box", "pobox", "postbox", "postfach", "apartado", "boîte", "case", "casilla", "bag", "bp", "p"}
+JOINED_ENDS = tuple(STREET_JOINED.replace("\\.?", "").split("|"))
+ID_WORDS = (
+    "passport", "reisepass", "pasaporte", "passeport", "ssn", "social", "sozialversicherungsnummer", "national", "nino", "health", "care", "phn", "mrn", "medical", "nhs", "medicare", "chart", "hospital", "patient",
+    "participant", "subject", "id", "personnummer", "personalausweis", "steuer", "versicherungsnummer", "versichertennummer", "insurance", "carte", "numéro", "dni", "nie", "curp", "cpf", "sin", "driver", "licence", "tax", "itin", "member",
+)
+AT_WORDS = frozenset(("at", "a", "arroba"))
+AT_ANCHOR = regex.compile(rf"{AT}(?=({LABEL_}(?:{DOT}{LABEL_})*?{DOT}(?:\p{{Ll}}{{2,24}}|\p{{Lu}}{{2,24}})))")
+#: Stretches that hold all digits of a phone number, and shapes without which no pattern of a number can match.
+DIGITS = re.compile(rf"(?:00|[+(]|\d)[\d()+{SEP[1:-1]}]{{6,}}")
+BARE_DIGITS, ALONE = re.compile(r"\d{10}"), re.compile(r"\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]")
+#: Flags of a word: what may begin or stand at it.
+KNOWN, CANDIDATE, STREET, ID_START, AT_WORD = 1, 2, 4, 8, 16
+PARTS = re.compile(r"[^\-'’]+")
 
 
-def _near(pattern: regex.Pattern, anchor: regex.Pattern, text: str, before: int, after: int) -> Iterator[regex.Match]:
-    """Matches of pattern in the stretches of text around the matches of anchor; stretches that meet are one.
+def _stretches(text: str, anchors: list[tuple[int, int]], blank: str, before: int, after: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of `before` words before each anchor to `after` words behind it, of any length; those that meet are one.
 
-    What touches the end of a stretch is matched again against the whole text, so a cut never makes or changes a match.
+    blank: the only character between words of a match.
     """
-
-    def stretch(a: int, b: int) -> Iterator[regex.Match]:
-        for m in pattern.finditer(text, a, b):
-            if m.end() < b - 8 or b == len(text):
-                yield m
-            elif whole := pattern.match(text, m.start()):
-                yield whole
-
     a = b = -1
-    for m in anchor.finditer(text):
-        if b < 0 or m.start() - before > b:
+    for start, end in anchors:
+        floor, lo = max(a, text.rfind("\n", 0, start) + 1) if blank == " " else max(a, 0), start
+        for _ in range(before):
+            lo = text.rfind(blank, floor, lo)
+            if lo < 0:
+                lo = floor
+                break
+        hi = end
+        for _ in range(after):
+            hi = text.find(blank, hi + 1)
+            if hi < 0:
+                hi = len(text)
+                break
+        if b < 0 or lo > b:
             if b >= 0:
-                yield from stretch(a, b)
-            a = max(0, m.start() - before)
-        b = min(len(text), m.end() + after)
+                yield a, b
+            a = lo
+        b = max(b, hi)
     if b >= 0:
-        yield from stretch(a, b)
+        yield a, b
+
+
+def _matches(pattern: regex.Pattern, text: str, a: int, b: int) -> Iterator[regex.Match]:
+    """Matches of pattern that begin in text[a:b]: what the end of the stretch cuts or lets through is tried on the whole text."""
+    while m := pattern.search(text, a, b):
+        if m.end() < b - 8 or b == len(text):
+            yield m
+            a = m.end()
+        elif whole := pattern.match(text, m.start()):
+            yield whole
+            a = whole.end()
+        else:
+            a = m.start() + 1
 
 
 def _blank(text: str, spans: list[tuple[int, int]]) -> str:
@@ -146,17 +180,34 @@ def _digits(s: str) -> int:
     return sum(c.isdigit() for c in s)
 
 
-def find_emails(text: str) -> list[tuple[int, int]]:
-    spans = [m.span() for m in EMAIL.finditer(text)]
-    rest = _blank(text, spans)
-    return spans + [m.span() for m in _near(DISGUISED, AT_ANCHOR, rest, 100, 300)]
-
-
-def find_ids(text: str) -> list[tuple[int, int]]:
+def find_emails(text: str, words: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
+    """Plain addresses are found before the text is cut into words; these are the disguised ones, around what stands for '@'."""
+    at = []
+    for a in sorted([a for a, _, _, f in words if f & AT_WORD] + [m.start() for m in re.finditer("@", text)]):
+        if m := next((m for i in range(3, -1, -1) if a >= i and (m := AT_ANCHOR.match(text, a - i))), None):
+            at.append((m.start(), m.end(1)))
+    out: list[tuple[int, int]] = []
+    for start, end in at:
+        # LOCAL (DOT LOCAL)? before it: six stretches without blanks at most, whatever blanks stand between them
+        lo = start
+        for _ in range(6):
+            lo = len(text[:lo].rstrip())
+            while lo and not text[lo - 1].isspace():
+                lo -= 1
+        out += [m.span() for m in _matches(DISGUISED, text, max(lo, out[-1][1] if out else 0), end) if not out or m.start() >= out[-1][1]]
+    return out
+
+
+def find_ids(text: str, words: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
     """Shapes right behind a label, or, where none follows it, the last shape shortly before it on its line."""
-    spans = [m.span() for m in ID_ALONE.finditer(text) if not NO_PERSON.search(text[max(0, m.start() - 16) : m.start()])]
+    spans = [m.span() for m in ID_ALONE.finditer(text) if not NO_PERSON.search(text[max(0, m.start() - 16) : m.start()])] if ALONE.search(text) else []
     spans += [m.span(1) for p in (ID_COLUMN, ID_CELL) for m in p.finditer(text)]
-    for label in ID_LABEL.finditer(text):
+    done = 0
+    for start in (a + m.start() for a, _, word, f in words if f & ID_START for m in PARTS.finditer(word)):
+        label = ID_LABEL.match(text, start) if start >= done else None
+        if not label:
+            continue
+        done = label.end()
         after = ID_SHAPE.match(text, label.end() + len(m.group()) if (m := re.match(r"[\s'\"`]{0,2}", text[label.end() : label.end() + 2])) else label.end())
         if after and _digits(after.group()) >= 3:
             spans.append(after.span())
@@ -170,23 +221,24 @@ def find_ids(text: str) -> list[tuple[int, int]]:
 
 def find_phones(text: str) -> list[tuple[int, int]]:
     spans = []
-    for m in PHONE.finditer(text):
+    for m in (m for s in DIGITS.finditer(text) for m in PHONE.finditer(text, s.start(), s.end() + 3)):
         n, left = _digits(m.group()), text[max(0, m.start() - 24) : m.start()]
         if not 8 <= n <= 15 or NO_PERSON.search(left) or re.fullmatch(r"\d{4}-\d{2}-\d{2}|0?\d{1,2}[./-]\d{1,2}[./-]\d{4}", m.group()):
             continue
         spans.append(m.span())
     rest = _blank(text, spans)
-    for m in PHONE_BARE.finditer(rest):
+    for m in PHONE_BARE.finditer(rest) if BARE_DIGITS.search(rest) else ():
         left = text[max(0, m.start() - 24) : m.start()]
         if PHONE_LABEL.search(left) or m.group()[0] != "0" and not NO_PERSON.search(left):
             spans.append(m.span())
     return spans
 
 
-def find_addresses(text: str, common: set[str]) -> list[tuple[int, int]]:
+def find_addresses(text: str, common: set[str], words: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
     """A street named first ('rue de X') goes on over further capitalised words that are not common ones."""
     spans = []
-    for m in _near(ADDRESS, STREET_ANCHOR, text, 160, 160):
+    anchors = [(a, b) for a, b, _, f in words if f & STREET]
+    for m in (m for s in _stretches(text, anchors, " ", 9, 14) for m in _matches(ADDRESS, text, *s)):
         a, b = m.span()
         while re.match(r"\d", m.group()) and STREET_BEFORE.search(m.group()) and (more := re.compile(r" ([A-ZÀ-Þ][\w'’-]+)").match(text, b)) and more.group(1).lower() not in common:
             b = more.end()
@@ -214,6 +266,7 @@ class Names:
 
     def __init__(self, given: set[str], common: set[str], rest: DataFrame | None = None):
         self.given, self.common, self.rest = given, common - given, rest
+        self.flags: dict[str, int] = {}
 
     def plus(self, more: list[str] | None) -> Names:
         """These names and more given names: those of rest that stand in one text."""
@@ -248,26 +301,42 @@ class Names:
             end -= 3
         return end
 
-    def _candidates(self, text: str) -> Iterator[tuple[int, int, str, bool]]:
-        """(start, end, word, known) of the words that can begin a name: given names, rare capitalised words, initials.
-
-        Most words leave by two set look-ups, before any pattern is tried on what surrounds them.
-        """
+    def _flag(self, word: str) -> int:
+        low = word.lower()
+        known = low in self.given
+        f = KNOWN | CANDIDATE if known else CANDIDATE if word[0].isupper() and (len(word) == 1 or low not in self.common) else 0
+        for part in PARTS.findall(low):
+            f |= STREET * (part in STREET_SET or part.endswith(JOINED_ENDS)) | ID_START * part.startswith(ID_WORDS) | AT_WORD * (part in AT_WORDS)
+        return f
+
+    def words(self, text: str) -> list[tuple[int, int, str, int]]:
+        """(start, end, word, flags) of the words at which a pattern may match; most words leave by one look-up."""
+        out, flags = [], self.flags
+        if len(flags) > COUNTER_WORDS:
+            flags.clear()
         for m in TOKEN.finditer(text):
             word = m.group()
-            known = (low := word.lower()) in self.given
-            if known or word[0].isupper() and (len(word) == 1 or low not in self.common):
-                a, b = m.span()
+            f = flags.get(word)
+            if f is None:
+                f = flags[word] = self._flag(word)
+            if f:
+                out.append((m.start(), m.end(), word, f))
+        return out
+
+    def _candidates(self, text: str, words: list[tuple[int, int, str, int]]) -> Iterator[tuple[int, int, str, bool]]:
+        """(start, end, word, known) of the words that can begin a name: given names, rare capitalised words, initials."""
+        for a, b, word, f in words:
+            if f & CANDIDATE:
                 before, after = text[a - 1 : a], text[b : b + 2]
                 if a and (before.isalnum() or before in "_@/\\.$+-\x01") and not (before == "." and a > 1 and text[a - 2].isspace()):
                     continue
                 if after and (after[0].isnumeric() or after[0] in "_@/\\=[" or after[0] == "." and after[1:].isalpha()):
                     continue
-                yield a, b, word, known
+                yield a, b, word, bool(f & KNOWN)
 
-    def find(self, text: str) -> list[tuple[int, int]]:
+    def find(self, text: str, words: list[tuple[int, int, str, int]]) -> list[tuple[int, int]]:
         spans, done = [], 0
-        for a, b, word, known in self._candidates(text):
+        for a, b, word, known in self._candidates(text, words):
             if a < done:
                 continue
             upper = word[0].isupper()
@@ -307,20 +376,40 @@ def find_all(text: str, names: Names) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     rest = text
 
-    def take(kind: str, spans: list[tuple[int, int]]) -> None:
-        nonlocal rest
-        out.extend((kind, a, b) for a, b in spans)
-        rest = _blank(rest, spans)
-
-    take("email", find_emails(rest))
-    rest = _blank(rest, [m.span() for m in URL.finditer(rest)])
-    take("id_number", find_ids(rest))
+    def take(kind: str | None, spans: list[tuple[int, int]]) -> None:
+        nonlocal rest, words
+        if kind:
+            out.extend((kind, a, b) for a, b in spans)
+        if spans:
+            rest = _blank(rest, spans)
+            apart = [w for w in words if all(w[1] <= a or w[0] >= b for a, b in spans)]
+            whole = all(any(a <= w[0] and w[1] <= b for a, b in spans) for w in words if w not in apart) if len(spans) * len(words) < 10_000 else False
+            words = apart if whole else names.words(rest)
+
+    plain = [m.span() for m in EMAIL.finditer(text)] if "@" in text else []
+    out.extend(("email", a, b) for a, b in plain)
+    rest = _blank(text, plain)
+    words = names.words(rest)
+    take("email", find_emails(rest, words))
+    if "://" in rest or "www." in rest:
+        take(None, [m.span() for m in URL.finditer(rest)])
+    take("id_number", find_ids(rest, words))
     take("phone", find_phones(rest))
-    take("street_address", find_addresses(rest, names.common))
-    take("person_name", names.find(rest))
+    take("street_address", find_addresses(rest, names.common, words))
+    take("person_name", names.find(rest, words))
     return sorted(out, key=lambda x: x[1])
 
 
+def cued_words(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of the capitalised words behind a cue that a further word, a comma, a colon or the line's end follows."""
+    for m in CAPITAL.finditer(text):
+        a, b = m.span()
+        left = text[max(0, a - 24) : a].rstrip(" \t\n\r'\"")
+        last = LAST_WORD.search(left)
+        if (last and last.group(1).lower() in CUE_ENDS or left[-1:] == "©" or left[-1:].isdigit()) and AFTER_CUED.match(text, b) and CUE_BEFORE.search(text, max(0, a - 24), a):
+            yield a, b
+
+
 def count_words(df: DataFrame, text: str) -> DataFrame:
     """(word, prev, n, n_small, n_cue) over all texts, e-mail addresses and URLs aside: lower-case words.
 
@@ -330,27 +419,31 @@ def count_words(df: DataFrame, text: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, small, cued = Counter(), Counter(), Counter()  # by (word, prev)
+        spelled: Counter = Counter()
 
         def out() -> pa.RecordBatch:
+            for w, n in spelled.items():
+                total[w.lower(), None] += n
+                if not w[0].isupper():
+                    small[w.lower(), None] += n
+            spelled.clear()
             clean = lambda w: w and w.encode("utf-8", "replace").decode()
             words = [pa.array([clean(k[i]) for k in total], pa.string()) for i in (0, 1)]
             batch = pa.RecordBatch.from_arrays([*words, *[pa.array([c[k] for k in total], pa.int64()) for c in (total, small, cued)]], ["word", "prev", "n", "n_small", "n_cue"])
             total.clear(), small.clear(), cued.clear()
             return batch
 
-        cue = regex.compile(CUE_BEFORE.pattern[:-1] + rf"({CAP})(?=(?: \p{{Lu}}\.)?(?: (?:{'|'.join(PARTICLES)}))? \p{{Lu}}|[,:]|\s?\n)", regex.I)
         pair = regex.compile(rf"(?<!\p{{L}})({CAP})(?: \p{{Lu}}\.)*(?: (?:{'|'.join(PARTICLES)})){{0,2}} (?=({CAP}))")
         for b in batches:
             for t in b.column(0).to_pylist():
-                t = URL.sub(" ", EMAIL.sub(" ", t))
-                words = TOKEN.findall(t)
-                total.update((w.lower(), None) for w in words)
-                small.update((w.lower(), None) for w in words if not w[0].isupper())
-                cued.update((m.group(1).lower(), None) for m in cue.finditer(t) if m.group(1)[0].isupper())
+                t = EMAIL.sub(" ", t) if "@" in t else t
+                t = URL.sub(" ", t) if "://" in t or "www." in t else t
+                spelled.update(TOKEN.findall(t))
+                cued.update((t[a:b].lower(), None) for a, b in cued_words(t))
                 total.update((m.group(2).lower(), m.group(1).lower()) for m in pair.finditer(t))
-                if len(total) > COUNTER_WORDS:
+                if len(spelled) + len(total) > COUNTER_WORDS:
                     yield out()
-        if total:
+        if spelled:
             yield out()
 
     counts = df.where(F.col(text).isNotNull()).select(text).mapInArrow(count, "word string, prev string, n bigint, n_small bigint, n_cue bigint")

@@ -218,3 +218,11 @@ def test_surrogates_of_phones_stay_distinct(mentions):
 @settings(max_examples=100, deadline=None)
 def test_surrogates_of_addresses_stay_distinct(mentions):
     assert len({pii.surrogate("email", m, b"k") for m in mentions}) == len(mentions)
+
+
+def test_long_disguised_addresses_and_streets_are_found():
+    names = pii.Names(set(), {"at", "write", "to", "lives"})
+    long = "x" * 300
+    text = f"write to {long}.y [at] {'lab-' * 80}z [dot] example [dot] org, lives 12 {'Old' * 90} {'Quarry' * 60} North Hill Road Apt 7"
+    got = {(k, text[a:b]) for k, a, b in pii.find_all(text, names)}
+    assert got == {("email", text[9 : text.index(", lives")]), ("street_address", text[text.index("12 ") :])}
