@@ -1,12 +1,14 @@
 """Personal information inside free text: detection, and keyed surrogates in typed placeholders.
 
-Method: surrogate generation. Detected entities are replaced by keyed surrogates of the same type and format. A surrogate
-is a bijection of the entities of one format (each character is shifted, within its class, by a keyed hash of what stands
-before it), so different entities never collide and the same entity is the same everywhere, without any table to look up.
-Names keep script, case and word shape, and the ending that marks gender in many languages.
+Method: surrogate generation. Detected entities are replaced by keyed surrogates of the same type and format. A part of a
+person's name gets a made-up name of its script, gender and case; the names drawn for all different parts of the corpus are
+joined to find collisions, which are drawn again. Everything else gets a bijection within its format (each character is
+moved, within its class, by a keyed hash of what stands before it), whose surrogates can't collide. The same part, number or
+address has the same surrogate everywhere.
 
 Detection is rules over each whole text: e-mail addresses (plain and disguised), numbers issued to a person (a shape next to a label),
-phone numbers, street addresses and postal boxes, names of persons. Names use two word lists counted over all texts in one
+phone numbers, street addresses and postal boxes, names of persons. Words that can't begin a match leave by one look-up, the
+full patterns run around the rest. Names use two word lists counted over all texts in one
 pass: words that follow the cues of names, and common words.
 """
 
@@ -638,17 +640,184 @@ def mentions(df: DataFrame, id_col: str, text: str, names: Names) -> DataFrame:
     return _run(df, id_col, text, names, schema, lambda i, t, own: [(i, *m) for m in dict.fromkeys((k, t[a:b]) for k, a, b in find_all(t, own))] if t else [])
 
 
+# Cues of gender, and what made-up names are drawn from by script: beginnings of syllables, vowels, and the
+# endings of names of women, men and others.
+WOMEN = ("Mrs", "Ms", "Miss", "Frau", "Mme", "Mlle", "Sra", "Dra", "Doña", "Madame", "Señora", "sister", "wife", "mother", "landlady", "daughter")
+MEN = ("Mr", "Herr", "M", "Sr", "Don", "Sir", "Monsieur", "Señor", "brother", "husband", "father", "landlord", "son")
+SYLLABLES = {
+    "LATIN": ("b c d f g h j k l m n p r s t v w z br dr gr kl st tr".split(), "a e i o u".split(), {"f": "a ia ina ella".split(), "m": "o us an er".split(), "": "e in el ot ak is".split()}),
+    "CYRILLIC": ("б в г д ж з к л м н п р с т ф х ч бр др ст".split(), "а е и о у".split(), {"f": "а ия ина".split(), "m": "ан ор ий".split(), "": "е ко ен ук".split()}),
+    "GREEK": ("β γ δ ζ θ κ λ μ ν ξ π ρ σ τ φ χ στ τρ".split(), "α ε η ι ο υ".split(), {"f": "α ια η".split(), "m": "ος ης ας".split(), "": "ου ι ω".split()}),
+}
+#: How the ending of a name without cue is read.
+ENDINGS = (("f", ("a", "elle", "ine", "ette", "а", "я", "α", "η", "ά", "ή")), ("m", ("o", "us", "ος", "ης", "ας", "ий")))
+DRAWN_LETTERS = 3
+ROUNDS = 64
+WOMAN_BEFORE, MAN_BEFORE = (regex.compile(rf"(?<!\p{{L}})(?:{'|'.join(w)})\.? $", regex.I) for w in (WOMEN, MEN))
+
+
+def _script(part: str) -> str:
+    return unicodedata.name(part[0], "").split(" ")[0]
+
+
+def is_drawn(part: str) -> bool:
+    """Whether a part of a name gets a made-up name; shorter ones, other scripts and particles move within their classes."""
+    return len(part) >= DRAWN_LETTERS and part not in PARTICLES and _script(part) in SYLLABLES
+
+
+def gender_of(part: str, women: int, men: int) -> str:
+    """'f', 'm' or '': what most cues of the corpus say, else the ending."""
+    if women != men:
+        return "f" if women > men else "m"
+    return next((g for g, ends in ENDINGS if part.endswith(ends)), "")
+
+
+def drawn_name(part: str, gender: str, attempt: int, key: bytes) -> str:
+    """A made-up name of the same script and gender, about as long, drawn by a keyed hash; later attempts draw longer ones."""
+    heads, vowels, ends = SYLLABLES[_script(part)]
+    n = int.from_bytes(hashlib.blake2b(f"name\0{part}\0{gender}\0{attempt}".encode("utf-8", "replace"), key=key, digest_size=32).digest())
+    out = ""
+    for pool in [heads, vowels] * (1 + (len(part) > 4) + (len(part) > 7) + attempt // 4) + [heads, ends[gender]]:
+        n, k = divmod(n, len(pool))
+        out += pool[k]
+    return out
+
+
+def name_surrogate(mention: str, key: bytes, exceptions: dict[str, tuple[str, int]]) -> str:
+    """A name with every part replaced: the same part by the same name, in whatever mention and case it stands.
+
+    exceptions: part -> (gender, attempt) where these are not those of gender_of(part, 0, 0) and 0.
+    """
+
+    def one(m: regex.Match) -> str:
+        word, part = m.group(), m.group().lower()
+        if part in PARTICLES:
+            own = sorted(p for p in PARTICLES)
+            shift = 1 + int.from_bytes(hashlib.blake2b(b"particle", key=key, digest_size=4).digest()) % (len(own) - 1)
+            new = own[(own.index(part) + shift) % len(own)]
+        elif is_drawn(part):
+            new = drawn_name(part, *exceptions.get(part, (gender_of(part, 0, 0), 0)), key)
+        else:
+            return surrogate("person_name", word, key)
+        return new.upper() if word.isupper() and len(word) > 1 else new.capitalize() if word[0].isupper() else new
+
+    return NAME_PART.sub(one, mention)
+
+
+def _spans(df: DataFrame, id_col: str, text: str, names: Names) -> DataFrame:
+    """(id, text, kinds, starts, ends, cues): all texts with their mentions, written once; cues: gender said before a name."""
+    from ..session import materialise
+
+    lists = df.sparkSession.sparkContext.broadcast((names.given, names.common))  # bounded by LIST_WORDS and COMMON_SHARE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Names(*lists.value)
+        for b in batches:
+            more = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            found = [find_all(t, own.plus(m)) if t else [] for t, m in zip(b.column(1).to_pylist(), more)]
+            cues = [["" if k != "person_name" else "f" if WOMAN_BEFORE.search(t, max(0, a - 24), a) else "m" if MAN_BEFORE.search(t, max(0, a - 24), a) else "" for k, a, _ in f] for t, f in zip(b.column(1).to_pylist(), found)]
+            arrays = [[[m[i] for m in f] for f in found] for i in range(3)]
+            kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(v, k) for v, k in zip([*arrays, cues], kinds)]], [id_col, text, "_kinds", "_starts", "_ends", "_cues"])
+
+    rows = df.select(id_col, text)
+    rows = rows if names.rest is None else _with_rest(rows, id_col, text, names)
+    kind = df.schema[id_col].dataType.simpleString()
+    return materialise(rows.mapInArrow(run, f"`{id_col}` {kind}, `{text}` string, _kinds array<string>, _starts array<int>, _ends array<int>, _cues array<string>"), "spans")
+
+
+def _parts_of(b: pa.RecordBatch) -> Iterator[tuple[int, str, str]]:
+    """(row, part, cue) of the drawn parts of the names of a batch of _spans; the cue goes with the first part."""
+    for i, (t, kinds, starts, ends, cues) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 6)))):
+        for k, a, e, cue in zip(kinds, starts, ends, cues):
+            if k == "person_name":
+                for n, m in enumerate(NAME_PART.finditer(t, a, e)):
+                    if is_drawn(part := m.group().lower()):
+                        yield i, part, cue if n == 0 else ""
+
+
+def exceptional_names(spans: DataFrame, given: set[str], key: bytes) -> DataFrame:
+    """(part, gender, attempt) of the parts of names in all texts whose surrogate is not the first draw by their ending.
+
+    The gender is what most cues before a given name say. Collision check: the drawn names of all different parts are
+    joined with each other and with the parts themselves; of parts that share a name all but one, and parts whose name is
+    a real part, are drawn again until none is left, so different parts have different names and none is somebody's own.
+    """
+    from ..session import discard, materialise
+
+    known = spans.sparkSession.sparkContext.broadcast(given)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[str, list[int]] = {}
+            for _, part, cue in _parts_of(b):
+                own = sums.setdefault(part, [0, 0])
+                if part in known.value:
+                    own[0] += cue == "f"
+                    own[1] += cue == "m"
+            clean = [p.encode("utf-8", "replace").decode() for p in sums]
+            yield pa.RecordBatch.from_arrays([pa.array(clean, pa.string()), *[pa.array([v[i] for v in sums.values()], pa.int64()) for i in (0, 1)]], ["part", "women", "men"])
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(4))))
+            genders = [gender_of(p, w, m) for p, w, m, _ in rows]
+            drawn = [drawn_name(p, g, n, key) for (p, _, _, n), g in zip(rows, genders)]
+            odd = [g != gender_of(p, 0, 0) or n > 0 for (p, _, _, n), g in zip(rows, genders)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(genders, pa.string()), pa.array(drawn, pa.string()), pa.array(odd, pa.bool_())], ["part", "women", "men", "attempt", "gender", "name", "odd"])
+
+    schema = "part string, women bigint, men bigint, attempt int, gender string, name string, odd boolean"
+    base = spans.mapInArrow(count, "part string, women bigint, men bigint").groupBy("part").agg(F.sum("women").alias("women"), F.sum("men").alias("men"))
+    now = materialise(base.select("part", "women", "men", F.lit(0).alias("attempt")).mapInArrow(draw, schema), "surrogates")
+    for _ in range(ROUNDS):
+        first = now.groupBy("name").agg(F.min(F.struct("attempt", "part")).alias("_keep"))
+        real = now.select(F.col("part").alias("name"), F.lit(True).alias("_real"))
+        marked = materialise(now.join(first, "name").join(real, "name", "left").withColumn("_again", (F.col("_keep.part") != F.col("part")) | F.col("_real").isNotNull()).drop("_keep", "_real"), "surrogates")
+        discard(now)
+        if marked.where("_again").isEmpty():
+            return marked.where("odd").select("part", "gender", "attempt")
+        again = marked.where("_again").select("part", "women", "men", (F.col("attempt") + 1).cast("int").alias("attempt")).mapInArrow(draw, schema)
+        columns = ["part", "women", "men", "attempt", "gender", "name", "odd"]
+        now = materialise(marked.where("not _again").select(*columns).unionByName(again.select(*columns)), "surrogates")
+        discard(marked)
+    raise ValueError("the surrogates still collide")
+
+
 def redact(df: DataFrame, id_col: str, text: str, names: Names, key: bytes) -> DataFrame:
-    """(id, text): every mention replaced by [KIND surrogate]; all else, null and empty texts included, as it was."""
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, `{text}` string"
+    """(id, text): every mention replaced by [KIND surrogate]; all else, null and empty texts included, as it was.
 
-    def per_text(i, t, own):
-        if not t:
-            return [(i, t)]
-        out, at = [], 0
-        for kind, a, b in find_all(t, own):
-            out += [t[at:a], f"[{kind.upper()} {surrogate(kind, t[a:b], key)}]"]
-            at = b
-        return [(i, "".join([*out, t[at:]]))]
+    Texts are searched once; the surrogates of names are checked for collisions over the whole corpus. The parts drawn
+    otherwise than by default are broadcast up to LIST_WORDS of them, else joined with the parts of each text.
+    """
+    from ..session import bounded_rows
 
-    return _run(df, id_col, text, names, schema, per_text)
+    spans = _spans(df, id_col, text, names)
+    odd = exceptional_names(spans, names.given, key)
+    rows = bounded_rows(odd, LIST_WORDS)
+    shared = spans.sparkSession.sparkContext.broadcast({r.part: (r.gender, r.attempt) for r in rows or []})
+    kind = df.schema[id_col].dataType.simpleString()
+    if rows is None:
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = list(dict.fromkeys((i, p) for i, p, _ in _parts_of(b)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in own], pa.int64())), pa.array([p for _, p in own], pa.string())], ["_id", "part"])
+
+        more = spans.mapInArrow(parts, f"_id {kind}, part string").join(odd, "part").groupBy("_id").agg(F.collect_set(F.struct("part", "gender", "attempt")).alias("_more"))
+        spans = spans.join(more, F.col(id_col).eqNullSafe(F.col("_id")), "left").drop("_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = []
+            columns = [b.column(c).to_pylist() for c in range(1, 5)]
+            for t, kinds, starts, ends, more in zip(*columns, b.column(6).to_pylist() if b.num_columns > 6 else [None] * b.num_rows):
+                odd_names = {m["part"]: (m["gender"], m["attempt"]) for m in more} if more else shared.value
+                out, at = [], 0
+                for k, a, e in zip(kinds, starts, ends):
+                    new = name_surrogate(t[a:e], key, odd_names) if k == "person_name" else surrogate(k, t[a:e], key)
+                    out += [t[at:a], f"[{k.upper()} {new}]"]
+                    at = e
+                done.append("".join([*out, t[at:]]) if out else t)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], [id_col, text])
+
+    return spans.mapInArrow(run, f"`{id_col}` {kind}, `{text}` string")

@@ -220,6 +220,46 @@ def test_surrogates_of_addresses_stay_distinct(mentions):
     assert len({pii.surrogate("email", m, b"k") for m in mentions}) == len(mentions)
 
 
+def test_names_get_names_of_their_script_gender_and_case():
+    for k in range(50):
+        key = b"key%d" % k
+        sur = lambda m, odd={}: pii.name_surrogate(m, key, odd)
+        first, last = sur("Orla"), sur("Quist")
+        assert sur("Orla Quist") == f"{first} {last}" and sur("QUIST, ORLA") == f"{last.upper()}, {first.upper()}" and sur("orla") == first.lower()
+        assert first[-1] == "a" and sur("Orla", {"orla": ("m", 0)}).endswith(("o", "us", "an", "er"))
+        assert re.fullmatch(r"[А-Я][а-я]+ [А-Я][а-я]+", sur("Иван Петров")) and re.fullmatch(r"[Α-Ω][α-ω]+", sur("Ρωμανός".replace("ό", "ο")))
+        for m in ANY_SCRIPT + ["van der Berg", "O'Brien", "Mei-Ruo", "J. K. Rowle"]:
+            assert all(a != b for a, b in zip(re.findall(r"[^\W\d_]+", m), re.findall(r"[^\W\d_]+", sur(m)))), (m, sur(m))
+
+
+@pytest.mark.parametrize("bound", [20_000, 1])
+def test_surrogates_of_names_are_checked_for_collisions(spark, monkeypatch, bound):
+    """A small pool makes most draws collide: afterwards all parts have different names, none of them a real one."""
+    monkeypatch.setattr(pii, "LIST_WORDS", bound)
+    monkeypatch.setattr(pii, "SYLLABLES", {"LATIN": (["b", "d"], ["a", "o"], {"f": ["a"], "m": ["o"], "": ["e", "a"]})})
+    firsts, lasts = ["Bada", "Orla", "Kim", "Dane", "Bodo"], [f"Quist{a}{b}" for a in "abcdef" for b in "ghijk"]
+    rows = [(i, f"{'Mr' if f == 'Orla' else 'ask'} {f} {n} again") for i, (f, n) in enumerate((f, n) for f in firsts for n in lasts)]
+    df = spark.createDataFrame([*rows, (None, "Mr Orla"), (900, None)], "doc_id long, text string")
+    names = pii.Names({f.lower() for f in firsts}, {"again", "ask"})
+    spans = pii._spans(df, "doc_id", "text", names)
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(pii)  # workers see the small pool
+    try:
+        odd = {r.part: (r.gender, r.attempt) for r in pii.exceptional_names(spans, names.given, b"k").collect()}
+        parts = {p.lower() for p in firsts + lasts}
+        drawn = {p: pii.drawn_name(p, *odd.get(p, (pii.gender_of(p, 0, 0), 0)), b"k") for p in parts}
+        assert len(set(drawn.values())) == len(parts) and not set(drawn.values()) & parts
+        assert odd["orla"][0] == "m" and drawn["orla"].endswith("o")
+        got = {r.doc_id: r.text for r in pii.redact(df, "doc_id", "text", names, b"k").collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(pii)
+    for i, t in rows:
+        _, f, n, _ = t.split(" ")
+        assert got[i].split("[PERSON_NAME ")[1] == f"{drawn[f.lower()].capitalize()} {drawn[n.lower()].capitalize()}] again"
+    assert got[900] is None and got[None] == f"Mr [PERSON_NAME {drawn['orla'].capitalize()}]"
+
+
 def test_long_disguised_addresses_and_streets_are_found():
     names = pii.Names(set(), {"at", "write", "to", "lives"})
     long = "x" * 300
