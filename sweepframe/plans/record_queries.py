@@ -59,8 +59,8 @@ def p1_alternatives(spark: SparkSession, d: str) -> DataFrame:
 
 def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:
     types, aliases = _names(spark, d)
-    data, kinds = table(spark, d, "expt_data"), _kinds(types)
-    return *eav.widen(eav.typed_cells(data, types, aliases), kinds, data.count()), kinds
+    kinds = _kinds(types)
+    return *eav.widen(eav.distinct_cells(eav.typed_cells(table(spark, d, "expt_data"), types, aliases)), kinds), kinds
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +69,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One row per path with a typed column per parameter."""
+    """One row per path with a typed column per parameter; more names the parameters of which the path has further values."""
     return _wide(spark, d)[0].withColumnRenamed("entity", "path").drop("ordinal")
 
 

@@ -63,17 +63,41 @@ def test_wide(spark, names):
     long_text = "x" * 300_000
     rows = [("p", "nodes", "1,000"), ("p", "N", "1e3"), ("p", "N", "7"), ("p", "N", "1.5"), ("p", "alpha", ".125"), ("p", "alpha", "1e-05"), ("p", "nltt", " Yes"), ("q", "model", long_text), ("q", "model", "NaN"), (None, "N", "1"), (" ", "N", "1"), ("r", "N", None), ("q", None, "1"), ("q", "ordinal", "+05"), ("p", "N", "99999999999999999999999")]
     data = spark.createDataFrame(rows, "path string, parameter string, value string").withColumn("entity", F.lit("clash"))
-    wide, others = eav.widen(eav.typed_cells(data, *names), dict(TYPES), data.count())
+    wide, others = eav.widen(eav.distinct_cells(eav.typed_cells(data, *names)), dict(TYPES))
     w = {r.entity: r for r in wide.collect()}
     assert set(w) == {"p", "q"} and len({r.ordinal for r in w.values()}) == 2
-    assert (w["p"].N, w["p"].alpha, w["p"].nltt, w["q"].model, w["q"].ordinal_value) == (1000, 1e-05, True, long_text, 5)
-    assert {tuple(r) for r in others.collect()} == {("p", "N", "7"), ("p", "alpha", "0.125000")}
+    assert (w["p"].N, w["p"].alpha, w["p"].nltt, w["q"].model, w["q"].ordinal_value) == (7, 1e-05, True, long_text, 5) and sorted(w["p"].more) == ["N", "alpha"] and w["q"].more == []
+    assert {tuple(r) for r in others.collect()} == {("p", "N", "1000"), ("p", "alpha", "0.125000")}
     cells = {tuple(r) for r in eav.narrow(wide, others, dict(TYPES)).collect()}
     assert cells == {("p", "N", "1000"), ("p", "N", "7"), ("p", "alpha", "0.125000"), ("p", "alpha", "0.000010"), ("p", "nltt", "true"), ("q", "model", long_text), ("q", "ordinal", "5")}
-    none, rest = eav.widen(eav.typed_cells(data.limit(0), *names), dict(TYPES), 0)
+    none, rest = eav.widen(eav.distinct_cells(eav.typed_cells(data.limit(0), *names)), dict(TYPES))
     assert none.count() == 0 and rest.count() == 0
 
 
+def test_wide_over_many_batches(spark, names):
+    """Entities that go on in the next Arrow batch, several ranges in one task, many attributes."""
+    kinds = {f"a{k}": ("integer", "double", "boolean", "text")[k % 4] for k in range(12)}
+    types, none = spark.createDataFrame(list(kinds.items()), "parameter string, value_type string"), names[1].limit(0)
+    value = {"integer": str, "double": lambda i: f"{i}.5", "boolean": lambda i: "yes" if i % 3 else "no", "text": lambda i: f"t{i}"}
+    rows = [(f"e{i:04d}", p, value[k](i)) for i in range(700) for n, (p, k) in enumerate(kinds.items()) if (i + n) % 5]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        cells = eav.distinct_cells(eav.typed_cells(spark.createDataFrame(rows, "path string, parameter string, value string").repartition(3), types, none))
+        wide, others = eav.widen(cells, kinds)
+        got = {r.entity: r for r in wide.coalesce(2).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == 700 == len({r.ordinal for r in got.values()}) and others.count() == 0
+    for b in range(4):
+        own = sorted(r.ordinal - (b << 33) for r in got.values() if r.ordinal >> 33 == b)
+        assert own == list(range(len(own)))
+    read = {"integer": int, "double": float, "boolean": lambda s: s == "yes", "text": str}
+    for i in range(700):
+        want = {p: read[kinds[p]](value[kinds[p]](i)) for n, p in enumerate(kinds) if (i + n) % 5}
+        assert {p: got[f"e{i:04d}"][p] for p in kinds} == {p: want.get(p) for p in kinds}
+
+
 def test_file_keys(spark):
     df = spark.createDataFrame([(" a//b\\c ",), ("./a/./b/",), ("a/x/../b",), ("/a/../../b",), ("",), (None,), ("A/b",)], "p string")
     assert [r.k for r in df.select(file_key(F.col("p")).alias("k")).collect()] == ["a/b/c", "a/b", "a/b", "/b", "", None, "A/b"]
