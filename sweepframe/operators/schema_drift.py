@@ -8,23 +8,23 @@ before it in its series.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import canonical_names, name_key, strip
 from ..functions.values import parsed
 from ..functions.stage import staged
-from ..sources.headers import body, pairs, type_tag, unquote
-from ..session import materialise
+from ..session import broadcast_if_small, materialise
+from ..sources.headers import body, pairs, type_tag, typed_value, unquote
 from .ordered import CHUNK_ROWS, previous
 
-FIELD = "array<struct<parameter:string,spellings:array<string>,tags:array<string>,raw:string>>"
-
-
 def tagged_headers(files: DataFrame, header: str, types: DataFrame, aliases: DataFrame) -> DataFrame:
     """files plus fields: the tagged map of the header, sorted by parameter; null where the header is no complete map.
 
-    A key written twice keeps its last value, as in YAML; unknown parameters are left out.
+    A key written twice keeps its last value, as in YAML; a parameter written under two spellings keeps the value of each
+    in raws, the last one in raw. Unknown parameters are left out.
     """
     table = canonical_names(types, aliases)
     if table is None:
@@ -37,7 +37,10 @@ def tagged_headers(files: DataFrame, header: str, types: DataFrame, aliases: Dat
     def fused(name: Column) -> Column:
         own = F.filter(F.col("_named"), lambda p: p["parameter"] == name)
         tags = F.array_sort(F.array_distinct(F.array_compact(F.transform(own, lambda p: type_tag(p["raw"])))))
-        return F.struct(name.alias("parameter"), F.array_sort(F.array_distinct(F.transform(own, lambda p: p["spelling"]))).alias("spellings"), tags.alias("tags"), F.element_at(own, -1)["raw"].alias("raw"))
+        spellings = F.array_sort(F.array_distinct(F.transform(own, lambda p: p["spelling"])))
+        last = F.element_at(own, -1)["raw"]
+        each = F.array_distinct(F.transform(spellings, lambda s: F.element_at(F.filter(own, lambda p: p["spelling"] == s), -1)["raw"]))
+        return F.struct(name.alias("parameter"), spellings.alias("spellings"), tags.alias("tags"), last.alias("raw"), F.concat(F.array(last), F.array_remove(each, last)).alias("raws"))
 
     return staged(rows, fields=F.when(F.col("_pairs").isNotNull(), F.transform(names, fused))).drop("_pairs", "_named")
 
@@ -71,14 +74,43 @@ def tagged_values(eav: DataFrame, types: DataFrame, aliases: DataFrame) -> DataF
     return values.groupBy("path", "reading").agg(F.array_sort(F.collect_list(field)).alias("fields"))
 
 
+def header_readings(files: DataFrame) -> DataFrame:
+    """tagged_headers with a row per reading: reading 1 has one value of each parameter, further ones those of its other spellings."""
+    most = F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform("fields", lambda f: F.size(f["raws"]))), F.lit(1)))
+    rows = files.withColumn("reading", F.explode(F.sequence(F.lit(1), most)))
+
+    def one(f: Column) -> Column:
+        raw = F.get(f["raws"], F.col("reading") - 1)
+        return F.struct(f["parameter"].alias("parameter"), f["spellings"].alias("spellings"), F.array_compact(F.array(type_tag(raw))).alias("tags"), raw.alias("raw"))
+
+    return staged(rows, fields=F.transform(F.filter("fields", lambda f: F.size(f["raws"]) >= F.col("reading")), one))
+
+
+def fused_series(files: DataFrame, series: list[str]) -> DataFrame:
+    """(series, parameter, n_files, alternatives): the schemas of all files of a series in one, every parameter with whether its
+    spellings or type tags have alternatives and in how many files it is. Aggregated on the map side."""
+    each = files.select(*series, F.explode("fields").alias("f"))
+    apart = lambda k: F.min(f"f.{k}") != F.max(f"f.{k}")
+    return each.groupBy(*series, F.col("f.parameter").alias("parameter")).agg(F.count("*").alias("n_files"), (apart("spellings") | apart("tags")).alias("alternatives"))
+
+
 def changes(files: DataFrame, series: list[str], order: list[str], id_col: str, target: int = CHUNK_ROWS) -> DataFrame:
     """(id, parameter, change) between each file and the last one before it that has fields.
 
-    change: added, removed, renamed (no spelling in common), retyped (no type tag in common; null has no type). The first
+    The files of a series are fused first; parameters that all of them have without alternatives can't change and leave
+    before the files are put in order. change: added, removed, renamed (no spelling in common), retyped (no type tag in
+    common; null has no type). The first
     file of a series has no changes; files without fields are passed over; ties of the first order column are broken by
     the following ones. A series may hold any share of the files (cut into chunks above target files).
     """
-    rows = materialise(files.where("fields is not null").select(*dict.fromkeys([*series, *order, id_col]), "fields"), "fields")  # parsed once
+    slim = F.transform("fields", lambda f: F.struct(f["parameter"].alias("parameter"), f["spellings"].alias("spellings"), f["tags"].alias("tags")))
+    rows = materialise(files.where("fields is not null").select(*dict.fromkeys([*series, *order, id_col]), slim.alias("fields")), "fields")  # parsed once
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in series]
+    total = rows.groupBy(*series).agg(F.count("*").alias("_n"))
+    fused = fused_series(rows, series).alias("f").join(total.alias("t"), same("f", "t")).where("alternatives or n_files < _n")
+    varying = broadcast_if_small(fused.groupBy(*[F.col(f"f.{k}").alias(k) for k in series]).agg(F.collect_set("parameter").alias("_varying")))
+    rows = rows.alias("r").join(varying.alias("v"), same("r", "v")).select("r.*", "_varying")
+    rows = rows.withColumn("fields", F.filter("fields", lambda f: F.array_contains(F.col("_varying"), f["parameter"]))).drop("_varying")
     rows = previous(rows, series, order, ["fields"], "_before", target).where("_before is not null and fields <> _before.fields")
     rows = rows.select(id_col, "fields", "_before")
     now, old = F.col("fields"), F.col("_before.fields")
@@ -95,18 +127,28 @@ def changes(files: DataFrame, series: list[str], order: list[str], id_col: str,
     return each.select(id_col, "f.parameter", F.explode(found).alias("change"))
 
 
-def alternatives(files: DataFrame, file: str | None = None) -> DataFrame:
-    """(parameter, tag, n_files): the fused schema with every alternative type of each parameter; rows of one file count once."""
+def alternatives(files: DataFrame, file: str | None = None, at: str | None = None) -> DataFrame:
+    """(parameter, tag, n_files): the fused schema with every alternative type of each parameter; rows of one file count once.
+
+    With at, the time of a row, also first_at and first_file: when and where the alternative appears, ties to the least file.
+    """
     n = F.count_distinct(file) if file else F.count("*")
-    return files.select(*[file] * bool(file), F.explode("fields").alias("f")).select(*[file] * bool(file), "f.parameter", F.explode("f.tags").alias("tag")).groupBy("parameter", "tag").agg(n.alias("n_files"))
+    first = F.min(F.when(F.col(at).isNotNull(), F.struct(F.col(at).alias("at"), F.col(file).alias("file")))) if at else None
+    keep = [c for c in (file, at) if c]
+    rows = files.select(*keep, F.explode("fields").alias("f")).select(*keep, "f.parameter", F.explode("f.tags").alias("tag"))
+    if first is None:
+        return rows.groupBy("parameter", "tag").agg(n.alias("n_files"))
+    return rows.groupBy("parameter", "tag").agg(n.alias("n_files"), first.alias("_f")).select("parameter", "tag", "n_files", F.col("_f.at").alias("first_at"), F.col("_f.file").alias("first_file"))
 
 
 def unified(files: DataFrame, kinds: dict[str, str], keep: list[str], written: Column | None = None) -> DataFrame:
-    """One row per row of files: keep, one canonical typed column per parameter and a text branch <parameter>__<tag> per alternative.
+    """One row per row of files: keep, one canonical typed column per parameter and a typed branch <parameter>__<tag> per alternative.
 
     A value that converts to the parameter's type fills the canonical column; one that does not fills the branch of its
-    tag, as written; the tag of the parameter's own type has a branch if there are such values. Files without a complete
-    header keep their row, with nulls. kinds: parameter -> value_type. written: where values are YAML (quoted, lists), all if None.
+    tag: BIGINT, DOUBLE, BOOLEAN, STRING or ARRAY<STRING>; the tag of the parameter's own type has a branch if there are
+    such values. What neither can hold (an integer beyond 64 bits) stands as written in <parameter>__unread. Files without a
+    complete header keep their row, with nulls. kinds: parameter -> value_type. written: where values are YAML (quoted,
+    lists), all if None.
     """
     tag_of = {"integer": "integer", "double": "float", "boolean": "boolean", "text": "string"}
     written = F.lit(True) if written is None else written
@@ -121,11 +163,20 @@ def unified(files: DataFrame, kinds: dict[str, str], keep: list[str], written: C
 
     field = {p: raw(p) for p in kinds}
     files = staged(files, **{f"_raw_{p}": field[p] for p in kinds})
-    files = staged(files, **{f"_canonical_{p}": F.when(~written | ~F.col(f"_raw_{p}").startswith("["), parsed(strip(plain(F.col(f"_raw_{p}"))), k)) for p, k in kinds.items()})
+    files = staged(files, **{f"_canonical_{p}": F.when(~written | (type_tag(F.col(f"_raw_{p}")) != "list"), parsed(strip(plain(F.col(f"_raw_{p}"))), k)) for p, k in kinds.items()})
     field, canonical = {p: F.col(f"_raw_{p}") for p in kinds}, {p: F.col(f"_canonical_{p}") for p in kinds}
     files = materialise(files, "canonical")  # converted once
-    own = {p: canonical[p].isNull() & (type_tag(field[p]) == tag_of[k]) for p, k in kinds.items()}
-    unlike = files.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(p) for p, c in own.items()]).first().asDict() if kinds else {}
-    seen = sorted((p, t) for p, t in seen if p in kinds and (t != tag_of[kinds[p]] or unlike[p]))
-    branches = [F.when(canonical[p].isNull() & (type_tag(field[p]) == t), plain(field[p])).alias(f"{p}__{t}") for p, t in seen]
-    return files.select(*keep, *[c.alias(p if p not in keep else f"{p}_value") for p, c in canonical.items()], *branches)
+    lost = {p: canonical[p].isNull() & field[p].isNotNull() for p in kinds}
+
+    def branch(p: str, t: str) -> Column:
+        value = F.when(written, typed_value(field[p], t)).otherwise(field[p]) if t == "string" else typed_value(field[p], t)
+        return F.when(lost[p] & (type_tag(field[p]) == t), value)
+
+    tags = sorted((p, t) for p, t in seen if p in kinds)
+    files = files.select(*keep, *[f"_raw_{p}" for p in kinds], *[f"_canonical_{p}" for p in kinds], *[branch(p, t).alias(f"{p}__{t}") for p, t in tags])
+    unread = {p: reduce(lambda a, b: a & b, [F.col(f"{q}__{t}").isNull() for q, t in tags if q == p], lost[p] & type_tag(field[p]).isNotNull()) for p in kinds}
+    own = {p: lost[p] & (type_tag(field[p]) == tag_of[k]) for p, k in kinds.items()}
+    some = files.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"{n}_{p}") for n, cs in (("own", own), ("unread", unread)) for p, c in cs.items()]).first().asDict() if kinds else {}
+    branches = [F.col(f"{p}__{t}") for p, t in tags if t != tag_of[kinds[p]] or some[f"own_{p}"]]
+    rest = [F.when(unread[p], plain(field[p])).alias(f"{p}__unread") for p in kinds if some[f"unread_{p}"]]
+    return files.select(*keep, *[c.alias(p if p not in keep else f"{p}_value") for p, c in canonical.items()], *branches, *rest)

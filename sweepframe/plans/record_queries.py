@@ -42,19 +42,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    """(file_id, path, origin, reading, fields): the headers of all files and the catalogue's rows of all paths, with or without a file."""
-    headers = _headers(spark, d).select("file_id", "path", F.lit("yaml").alias("origin"), F.lit(1).alias("reading"), "fields")
-    rows = schema_drift.tagged_values(table(spark, d, "expt_data"), *_names(spark, d)).join(table(spark, d, "trace_files").select("file_id", "path"), "path", "left")
-    return headers.unionByName(rows.select("file_id", "path", F.lit("data").alias("origin"), "reading", "fields"))
+    """(file_id, path, written_at, origin, reading, fields): the headers of all files and the catalogue's rows of all paths,
+    with or without a file."""
+    headers = schema_drift.header_readings(_headers(spark, d)).select("file_id", "path", "written_at", F.lit("yaml").alias("origin"), "reading", "fields")
+    files = table(spark, d, "trace_files").select("file_id", "path", "written_at")
+    rows = schema_drift.tagged_values(table(spark, d, "expt_data"), *_names(spark, d)).join(files, "path", "left")
+    return headers.unionByName(rows.select("file_id", "path", "written_at", F.lit("data").alias("origin"), "reading", "fields"))
 
 
 def p1_unified(spark: SparkSession, d: str) -> DataFrame:
-    """All headers and catalogue rows in one table: typed columns and branches for values of other types."""
+    """All headers and catalogue rows in one table: typed columns and typed branches for values of other types."""
     return schema_drift.unified(_fused(spark, d), _kinds(table(spark, d, "parameter_types")), ["file_id", "path", "origin", "reading"], F.col("origin") == "yaml")
 
 
 def p1_alternatives(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.alternatives(_fused(spark, d), "path")
+    """Every type of every parameter: in how many files, in which first (by written_at) and when."""
+    return schema_drift.alternatives(_fused(spark, d), "path", "written_at")
 
 
 def _wide(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, dict[str, str]]:

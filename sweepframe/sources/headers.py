@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 QUOTED = r"""'(?:[^']|'')*+'|"(?:[^"\\]|\\.)*+\""""
-BARE_KEY = r"[^\s,\[\]{}#&*!|>'\"%@`:?\-](?:[^,\[\]{}:\n]|:(?![\s,}]))*+"
+BARE_KEY = r"[^\s,\[\]{}#&*!|>'\"%@`:?\-](?:[^,\[\]{}:\n]|:(?![\s,}]|$))*+"
 LIST = r"\[(?:'[^'\n]*+'|\"[^\"\n]*+\"|[^\[\]'\"{}\n])*+\]"
 FLOW_VALUE = rf"{LIST}|{QUOTED}|[^\s,\[\]{{}}'\"](?:[^,\[\]{{}}\n:]|:(?!\s))*+|"
 LINE_VALUE = rf"{LIST}|{QUOTED}|[^\s\[\]{{}}'\",#%&*!|>@`](?:[^\n:#]|:(?!\s)|(?<!\s)#)*+|"
@@ -50,6 +50,34 @@ def type_tag(raw: Column) -> Column:
     )
 
 
+def typed_value(raw: Column, tag: str) -> Column:
+    """A value of the given type_tag as BIGINT, DOUBLE, BOOLEAN, STRING or ARRAY<STRING>; null where that can't hold it.
+
+    Integers may be hexadecimal, octal, binary or base 60 and have '_' between digits, as in YAML 1.1.
+    """
+    s = F.trim(raw)
+    plain = F.regexp_replace(s, "[_+]", "")
+    sign = F.when(plain.startswith("-"), F.lit(-1)).otherwise(F.lit(1)).cast("bigint")
+    bare = F.regexp_replace(plain, "^-", "")
+
+    def based(prefix: str, base: int) -> Column:
+        return sign * F.conv(F.regexp_replace(bare, f"^{prefix}", ""), base, 10).try_cast("bigint")
+
+    if tag == "integer":
+        sixty = F.aggregate(F.split(bare, ":"), F.lit(0).cast("bigint"), lambda acc, x: acc * 60 + x.try_cast("bigint"))
+        return F.when(bare.rlike("^0x"), based("0x", 16)).when(bare.rlike("^0b"), based("0b", 2)).when(bare.rlike("^0[0-7]+$"), based("0", 8)).when(bare.contains(":"), sign * sixty).otherwise(plain.try_cast("bigint"))
+    if tag == "float":
+        sixty = F.aggregate(F.split(bare, ":"), F.lit(0.0), lambda acc, x: acc * 60 + x.try_cast("double"))
+        low = F.lower(bare)
+        return F.when(low == ".inf", sign * F.lit(float("inf"))).when(low == ".nan", F.lit(float("nan"))).when(bare.contains(":"), sign * sixty).otherwise(plain.try_cast("double"))
+    if tag == "boolean":
+        return F.when(s.rlike(BOOLEAN), F.lower(s).isin("yes", "true", "on"))
+    if tag == "list":
+        inner = F.regexp_extract_all(F.substring(s, F.lit(2), F.length(s) - 2), F.lit(rf"({QUOTED}|[^,\[\]]+)"), F.lit(1))
+        return F.filter(F.transform(inner, lambda x: unquote(F.trim(x))), lambda x: x != "")
+    return unquote(s)
+
+
 def pairs(b: Column) -> Column:
     """ARRAY<STRUCT<key, raw>> of a header's body in the order written; null if it is not one complete map.
 

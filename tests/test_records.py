@@ -25,10 +25,10 @@ def header_pairs(spark, texts):
 
 
 def test_header_forms(spark):
-    got = header_pairs(spark, ["#{N: 5, 'a b': \"x, y\", l: [1, 2], e: }", "##{}", "% N: 1\n% m: ~\r\n", '  comment "{N: 3}"', "# {N: 1, m", "# {N: 1", "# N: '9", "", None, "plain", "#{a: 'it''s', b: true} \r"])
+    got = header_pairs(spark, ["#{N: 5, 'a b': \"x, y\", l: [1, 2], e: }", "##{}", "% N: 1\n% m: ~\r\n", '  comment "{N: 3}"', "# {N: 1, m", "# {N: 1", "# N: '9", "", None, "plain", "#{a: 'it''s', b: true} \r", "# N: 1\n# m: ", "# m:"])
     assert got[0] == [("N", "5"), ("a b", '"x, y"'), ("l", "[1, 2]"), ("e", "")]
     assert got[1] == [] and got[2] == [("N", "1"), ("m", "~")] and got[3] == [("N", "3")]
-    assert got[4:10] == [None] * 6 and got[10] == [("a", "'it''s'"), ("b", "true")]
+    assert got[4:10] == [None] * 6 and got[10] == [("a", "'it''s'"), ("b", "true")] and got[11:] == [[("N", "1"), ("m", "")], [("m", "")]]
 
 
 def test_type_tags(spark):
@@ -225,6 +225,19 @@ def test_catalogue_and_headers_in_one_table(spark, names, tmp_path):
     lone = got["lone", "data", 1]
     assert lone.alpha is None and lone.alpha__string == "much" and lone.model == "[x" and got["none", "data", 1].N is None
     h = got["p", "yaml", 1].asDict()
-    assert h["N"] is None and "0x1F" in h.values() and ".inf" in h.values() and "99999999999999999999999" in got["q", "yaml", 1].asDict().values()
-    alt = {(r.parameter, r.tag): r.n_files for r in record_queries.p1_alternatives(spark, str(tmp_path)).collect()}
-    assert alt["alpha", "string"] == 1 and alt["N", "integer"] == 2
+    assert h["N"] is None and h["N__integer"] == 31 and h["alpha__float"] == float("inf") and "99999999999999999999999" == got["q", "yaml", 1]["N__unread"]
+    assert "alpha__unread" not in h
+    alt = {(r.parameter, r.tag): r for r in record_queries.p1_alternatives(spark, str(tmp_path)).collect()}
+    assert alt["alpha", "string"].n_files == 1 and alt["N", "integer"].n_files == 2
+    assert alt["N", "integer"].first_file == "p" and alt["N", "integer"].first_at is not None and alt["alpha", "string"].first_at is None
+
+
+def test_typed_branches_and_readings(spark, names):
+    rows = [(1, "{N: 0b101, nodes: [a, 'b c', \"d\"], alpha: 1:30.5, nltt: 017, model: Off}"), (2, "{N: 'x', alpha: -0x10, nltt: 2, model: ~}"), (3, "{N: 3, nodes: 3, 'n odes': 1_000}"), (4, None), (5, "{}")]
+    tagged = schema_drift.tagged_headers(spark.createDataFrame(rows, "file_id int, h string"), "h", *names)
+    got = {(r.file_id, r.reading): r for r in schema_drift.unified(schema_drift.header_readings(tagged), dict(TYPES), ["file_id", "reading"]).collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 1), (3, 1), (3, 2), (4, 1), (5, 1)}
+    a = got[1, 1]
+    assert (a.N, a["N__list"], a["alpha__float"], a["nltt__integer"], a.model) == (None, ["a", "b c", "d"], 90.5, 15, "Off") and got[1, 2]["N__integer"] == 5 and got[1, 2].alpha is None
+    assert got[2, 1]["N__string"] == "x" and got[2, 1]["alpha__integer"] == -16 and got[2, 1]["nltt__integer"] == 2 and got[2, 1].model is None
+    assert {got[3, 1].N, got[3, 1]["N__integer"], got[3, 2].N, got[3, 2]["N__integer"]} == {3, 1000, None}
