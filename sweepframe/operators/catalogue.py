@@ -24,12 +24,42 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], version: str) -> Data
     return best.select(*[F.col(c) if c in key else F.col(f"_b.{c}").alias(c) for c in old.columns])
 
 
-def stale(md5: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """(path, n_deps, n_stale): targets with dependencies whose stored checksum is missing or differs from the recorded one."""
+def stale(md5: DataFrame, dependencies: DataFrame, step: Column) -> DataFrame:
+    """(path, n_deps, n_stale, runnable): targets with dependencies whose stored checksum is missing or differs from the recorded
+    one. runnable: of every step (an expression over dep_path) that the target depends on, at least one file has a checksum."""
     links = dependencies.where("path is not null and dep_path is not null").select("path", "dep_path", "dep_checksum").distinct()
     joined = links.join(md5.where("path is not null").select(F.col("path").alias("dep_path"), "checksum"), "dep_path", "left")
     bad = F.col("checksum").isNull() | F.col("dep_checksum").isNull() | (F.col("checksum") != F.col("dep_checksum"))
-    return joined.groupBy("path").agg(F.count("*").alias("n_deps"), F.count_if(bad).alias("n_stale")).where("n_stale > 0")
+    steps = joined.groupBy("path", step.alias("_step")).agg(F.count("*").alias("_n"), F.count_if(bad).alias("_bad"), F.count("checksum").alias("_files"))
+    return steps.groupBy("path").agg(F.sum("_n").alias("n_deps"), F.sum("_bad").alias("n_stale"), (F.min("_files") > 0).alias("runnable")).where("n_stale > 0")
+
+
+def with_checksums(dependencies: DataFrame, md5: DataFrame, stored: str) -> DataFrame:
+    """(path, dep_path, checksum): every link once, with the dependency's newest checksum looked up (null if it has none).
+    Of equally new checksums the greatest counts."""
+    newest = md5.where("path is not null").groupBy(F.col("path").alias("dep_path")).agg(F.max(F.struct(stored, "checksum")).alias("_b"))
+    links = dependencies.where("path is not null and dep_path is not null").select("path", "dep_path").distinct()
+    return links.join(newest, "dep_path", "left").select("path", "dep_path", F.col("_b.checksum").alias("checksum"))
+
+
+def delete_files(table: DataFrame, doomed: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of table none of whose columns names a file of doomed (path). Rows with a null there stay."""
+    for c in columns:
+        table = table.join(doomed.where("path is not null").select(F.col("path").alias(c)).distinct(), c, "left_anti")
+    return table
+
+
+def grid_mismatches(points: DataFrame) -> DataFrame:
+    """(step, path, n_missing, n_extra) of the paths whose parameters are not those of their step's grid.
+
+    points: (step, path, parameter). The keys of a step are the parameter set that most of its paths have, ties to the least
+    set by text. A path holds few parameters; sets are counted, not paired.
+    """
+    sets = points.where("step is not null and path is not null and parameter is not null").groupBy("step", "path").agg(F.array_sort(F.collect_set("parameter")).alias("own"))
+    counted = sets.groupBy("step", "own").agg(F.count("*").alias("n"))
+    keys = counted.groupBy("step").agg(F.min(F.struct((-F.col("n")).alias("n"), "own")).alias("k")).select("step", F.col("k.own").alias("keys"))
+    j = sets.join(keys, "step").where("own <> keys")
+    return j.select("step", "path", F.size(F.array_except("keys", "own")).alias("n_missing"), F.size(F.array_except("own", "keys")).alias("n_extra"))
 
 
 def closure(edges: DataFrame, seeds: DataFrame, max_rounds: int = 1_000) -> DataFrame:
@@ -72,9 +102,11 @@ def levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1_000) -> DataF
     raise ValueError("more levels than max_rounds")
 
 
-def canonical_point(parameters: Column) -> Column:
-    """md5 of a parameter map in key order: a name for the point, whatever order it was written in."""
-    return F.md5(F.to_json(F.map_from_entries(F.array_sort(F.map_entries(parameters)))))
+def canonical_point(cells: DataFrame) -> DataFrame:
+    """(path, name) of the cells (path, parameter, cell): md5 of the lines 'parameter=cell' in order, so the name is the same
+    in whatever order and notation a point was written; contradicting cells are all in it."""
+    line = F.concat_ws("=", "parameter", "cell")
+    return cells.groupBy("path").agg(F.md5(F.array_join(F.array_sort(F.collect_set(line)), "\n")).alias("name"))
 
 
 def round_robin(df: DataFrame, order: list[str], processes: int) -> DataFrame:

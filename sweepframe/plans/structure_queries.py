@@ -12,6 +12,7 @@ from ..operators import graphs as G
 from ..operators import kernels as K
 from ..operators import trees as T
 from ..operators import weighted as W
+from .catalogue_queries import BY_FILE, by_file
 from .registry import Registry, table
 
 R = Registry()
@@ -96,11 +97,11 @@ def nltt_distance(spark, d):
     return T.step_distance(T.lineages(e, ["event_type"], F.col("t")), "event_type", one).withColumn("distance", F.round("distance", 8))
 
 
-EDGES_SQL = "e AS (SELECT DISTINCT least(path, dep_path) AS a, greatest(path, dep_path) AS b FROM expt_dependencies WHERE path IS NOT NULL AND dep_path IS NOT NULL)"
+EDGES_SQL = f"{BY_FILE}, e AS (SELECT DISTINCT least(path, dep_path) AS a, greatest(path, dep_path) AS b FROM dep WHERE path IS NOT NULL AND dep_path IS NOT NULL)"
 
 
 def _edges(spark, d) -> DataFrame:
-    return table(spark, d, "expt_dependencies").select(F.col("dep_path").alias("src"), F.col("path").alias("dst"))
+    return by_file(spark, d, "expt_dependencies").select(F.col("dep_path").alias("src"), F.col("path").alias("dst"))
 
 
 @R.query(f"WITH {EDGES_SQL}, n AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY ALL) SELECT degree, count(*) AS n FROM n GROUP BY ALL")
@@ -108,7 +109,7 @@ def degree_distribution(spark, d):
     return G.degrees(_edges(spark, d)).groupBy("degree").agg(F.count("*").alias("n"))
 
 
-@R.query("SELECT src, dst, 1.0::DOUBLE AS transmit FROM (SELECT path AS src, dep_path AS dst FROM expt_dependencies UNION SELECT dep_path, path FROM expt_dependencies) WHERE src <> dst")
+@R.query(f"WITH {BY_FILE} SELECT src, dst, 1.0::DOUBLE AS transmit FROM (SELECT path AS src, dep_path AS dst FROM dep UNION SELECT dep_path, path FROM dep) WHERE src <> dst")
 def mutual_edges(spark, d):
     return G.mutual(_edges(spark, d))
 

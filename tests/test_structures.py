@@ -40,8 +40,22 @@ def test_catalogue(spark):
     assert {r.node: r.level for r in catalogue.levels(nodes, solid).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2, "e": 3, "x": 0, "y": 1}
     with pytest.raises(ValueError, match="cycle"):
         catalogue.levels(nodes, loop.where("src is not null"))
-    a = spark.createDataFrame([(1, "x")], "i int, v string").select(F.create_map(F.lit("b"), F.lit("1"), F.lit("a"), F.lit("2")).alias("m"), F.create_map(F.lit("a"), F.lit("2"), F.lit("b"), F.lit("1")).alias("n"))
-    assert a.where(catalogue.canonical_point(F.col("m")) == catalogue.canonical_point(F.col("n"))).count() == 1
+    points = spark.createDataFrame([("p", "b", "1"), ("p", "a", "2"), ("q", "a", "2"), ("q", "b", "1"), ("r", "a", "2"), ("p", "a", "2")], "path string, parameter string, cell string")
+    name = {r.path: r.name for r in catalogue.canonical_point(points).collect()}
+    assert name["p"] == name["q"] != name["r"]
+    grid = points.withColumn("step", F.lit("s")).unionByName(spark.createDataFrame([("x", "c", "1", "s"), ("y", "c", "1", None)], "path string, parameter string, cell string, step string"))
+    assert {tuple(r) for r in catalogue.grid_mismatches(grid).collect()} == {("s", "r", 1, 0), ("s", "x", 2, 1)}
+
+
+def test_lineage(spark):
+    links = spark.createDataFrame([("t", "e/s/a", "1"), ("t", "e/u/b", "2"), ("t", "e/u/c", "3"), ("v", "e/w/gone", "4"), ("v", None, "4"), ("ok", "e/s/a", "1")], "path string, dep_path string, dep_checksum string")
+    md5 = spark.createDataFrame([("e/s/a", "1", 1), ("e/u/b", "9", 1), ("e/u/b", "2", 2), ("e/u/c", None, 1), (None, "7", 1)], "path string, checksum string, at int")
+    newest = md5.where("at = 2 or path <> 'e/u/b'").select("path", "checksum")
+    got = {tuple(r) for r in catalogue.stale(newest, links, F.split("dep_path", "/")[1]).collect()}
+    assert got == {("t", 3, 1, True), ("v", 1, 1, False)}
+    assert {tuple(r) for r in catalogue.with_checksums(links, md5, "at").collect()} == {("t", "e/s/a", "1"), ("t", "e/u/b", "2"), ("t", "e/u/c", None), ("v", "e/w/gone", None), ("ok", "e/s/a", "1")}
+    left = catalogue.delete_files(links, spark.createDataFrame([("t",), ("e/s/a",), (None,)], "path string"), ["path", "dep_path"])
+    assert {tuple(r) for r in left.collect()} == {("v", "e/w/gone", "4"), ("v", None, "4")}
 
 
 @pytest.mark.parametrize("seed", [1, 2])
