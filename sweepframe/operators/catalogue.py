@@ -45,7 +45,7 @@ def with_checksums(dependencies: DataFrame, md5: DataFrame, stored: str) -> Data
 def delete_files(table: DataFrame, doomed: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of table none of whose columns names a file of doomed (path). Rows with a null there stay."""
     for c in columns:
-        table = table.join(doomed.where("path is not null").select(F.col("path").alias(c)).distinct(), c, "left_anti")
+        table = table.join(doomed.where("path is not null").select(F.col("path").alias(c)).distinct(), c, "left_anti").select(*table.columns)
     return table
 
 

@@ -61,7 +61,7 @@ def tree_balance(spark, d):
 SELECT q.tree, q.a, q.b, min(x.dist + y.dist) AS distance FROM q JOIN anc x ON x.tree = q.tree AND x.tip = q.a JOIN anc y ON y.tree = q.tree AND y.tip = q.b AND y.node = x.node GROUP BY ALL""")
 def patristic_distance(spark, d):
     """Distance along the tree between each customer and the one 100 numbers on, if in the same tree."""
-    t = T.depths(_tree(spark, d))
+    t = _tree(spark, d)
     c = t.where("node like 'c%'").select("tree", F.col("node").alias("a"))
     other = F.concat(F.lit("c"), F.substring("a", 2, 20).try_cast("bigint") + 100)
     q = c.withColumn("b", other).join(c.select("tree", F.col("a").alias("b")), ["tree", "b"])
@@ -97,6 +97,46 @@ def nltt_distance(spark, d):
     return T.step_distance(T.lineages(e, ["event_type"], F.col("t")), "event_type", one).withColumn("distance", F.round("distance", 8))
 
 
+HEIGHTS = f"{TREE_SQL}, h AS (SELECT tree, node, parent, 0.0::DOUBLE AS height, 0 AS depth FROM nodes WHERE parent IS NULL UNION ALL SELECT n.tree, n.node, n.parent, h.height + n.length, h.depth + 1 FROM h JOIN nodes n ON n.tree = h.tree AND n.parent = h.node)"
+
+
+@R.query(f"""WITH RECURSIVE {HEIGHTS}, i AS (SELECT tree, round(height, 8) AS x, count(*) AS w FROM h WHERE EXISTS (SELECT 1 FROM nodes k WHERE k.tree = h.tree AND k.parent = h.node) GROUP BY ALL),
+ c AS (SELECT tree, x / max(x) OVER g AS x, (sum(w) OVER (PARTITION BY tree ORDER BY x) - 1)::DOUBLE / (sum(w) OVER g - 1) AS f FROM i WINDOW g AS (PARTITION BY tree)),
+ u AS (SELECT k AS tree, x, max(f) AS f, max(g) AS g FROM (SELECT tree AS k, x, f, NULL AS g FROM c UNION ALL SELECT t.k, x, NULL, f FROM c, (SELECT DISTINCT tree AS k FROM c) t WHERE c.tree = 'AFRICA') GROUP BY ALL),
+ v AS (SELECT tree, x, coalesce(last_value(f IGNORE NULLS) OVER w, 0) AS f, coalesce(last_value(g IGNORE NULLS) OVER w, 0) AS g FROM u WINDOW w AS (PARTITION BY tree ORDER BY x))
+SELECT tree, round(sum((nx - x) * abs(f - g)), 8) AS distance FROM (SELECT *, lead(x) OVER (PARTITION BY tree ORDER BY x) AS nx FROM v) WHERE nx IS NOT NULL GROUP BY ALL""")
+def nltt_trees(spark, d):
+    """Area between each tree's normalised lineages through time and those of one tree."""
+    c = W.materialise(T.nltt_curves(_tree(spark, d)), "curves")
+    out = T.step_distance(c, "tree", c.where("tree = 'AFRICA'").select("x", "f"))
+    return out.select("tree", (F.round("distance", 8) + 0.0).alias("distance"))
+
+
+@R.query(f"""WITH RECURSIVE {TREE_SQL}, anc AS (SELECT tree, node AS tip, node, parent, 0.0::DOUBLE AS dist, length FROM nodes x WHERE NOT EXISTS (SELECT 1 FROM nodes y WHERE y.tree = x.tree AND y.parent = x.node) UNION ALL SELECT a.tree, a.tip, n.node, n.parent, a.dist + a.length, n.length FROM anc a JOIN nodes n ON n.tree = a.tree AND n.node = a.parent WHERE a.dist + a.length <= 3),
+ e AS (SELECT DISTINCT a.tree, a.tip AS a, b.tip AS b FROM anc a JOIN anc b ON a.tree = b.tree AND a.node = b.node AND a.dist + b.dist <= 4), r AS (SELECT tree, a AS tip, a AS c FROM e UNION SELECT e.tree, e.b, r.c FROM r JOIN e ON e.tree = r.tree AND e.a = r.tip), k AS (SELECT tree, tip, min(c) AS c FROM r GROUP BY ALL), s AS (SELECT tree, c, count(*) AS n FROM k GROUP BY ALL)
+SELECT tree, count(*) AS clusters, max(n) AS largest FROM s GROUP BY ALL""")
+def tree_clusters(spark, d):
+    """Clusters of the tips of each tree that are linked by distances of at most 4, and the size of the largest."""
+    c = T.distance_clusters(_tree(spark, d), 4.0).groupBy("tree", "cluster").agg(F.count("*").alias("n"))
+    return c.groupBy("tree").agg(F.count("*").alias("clusters"), F.max("n").alias("largest"))
+
+
+@R.query(f"""WITH RECURSIVE {HEIGHTS}, anc AS (SELECT tree, node AS tip, node, parent FROM nodes x WHERE NOT EXISTS (SELECT 1 FROM nodes y WHERE y.tree = x.tree AND y.parent = x.node) UNION ALL SELECT a.tree, a.tip, n.node, n.parent FROM anc a JOIN nodes n ON n.tree = a.tree AND n.node = a.parent),
+ tips AS (SELECT tree, node, any_value(parent) AS parent, count(*) AS tips, bool_or(tip = node) AS is_tip FROM anc GROUP BY tree, node), kids AS (SELECT tree, parent AS node, count(*) AS k, sum(is_tip::INT) AS kt, max(tips) AS hi, min(tips) AS lo FROM tips WHERE parent IS NOT NULL GROUP BY ALL),
+ il AS (SELECT kids.tree, kids.node, h.parent FROM kids JOIN h USING (tree, node) WHERE k > 1 AND kt = 1), run AS (SELECT tree, node, 1 AS n FROM il UNION ALL SELECT il.tree, il.node, run.n + 1 FROM run JOIN il ON il.tree = run.tree AND il.parent = run.node),
+ w AS (SELECT tree, depth, count(*) AS n FROM h GROUP BY ALL), inn AS (SELECT h.tree, h.height, h.node, k - 1 AS more FROM kids JOIN h USING (tree, node)),
+ g AS (SELECT tree, height, node, sum(more) OVER o AS lin, coalesce((sum(more) OVER o - more + 1) * (height - lag(height) OVER o), 0) AS a FROM inn WINDOW o AS (PARTITION BY tree ORDER BY height, node)),
+ t AS (SELECT tree, height, lin, sum(a) OVER (PARTITION BY tree ORDER BY height, node) AS t FROM g), l AS (SELECT tree, count(*) - 1 AS m, sum(t) AS s, max(t) + (max(lin) + 1) * ((SELECT max(height) FROM h WHERE h.tree = t.tree) - max(height)) AS tt FROM t GROUP BY ALL)
+SELECT tree, il_nodes, coalesce(max_ladder, 0) AS max_ladder, max_delta_width, round(pu, 8) AS prop_unbalanced, round(mb, 8) AS mean_balance, round(wd, 8) AS width_depth, round(itr, 8) AS int_tip_ratio, round((s / m - tt / 2) / (tt * sqrt(1 / (12.0 * m))), 6) AS gamma
+FROM (SELECT tree, count(*) FILTER (k > 1 AND kt = 1) AS il_nodes, avg((hi <> lo)::INT) FILTER (k = 2) AS pu, avg(lo / hi) FILTER (k = 2) AS mb FROM kids GROUP BY ALL) LEFT JOIN (SELECT tree, max(n) AS max_ladder FROM run GROUP BY ALL) USING (tree)
+ JOIN (SELECT tree, max(n) / max(depth) AS wd, max(dw) AS max_delta_width FROM (SELECT *, abs(n - lag(n) OVER (PARTITION BY tree ORDER BY depth)) AS dw FROM w) GROUP BY ALL) USING (tree)
+ JOIN (SELECT n.tree, avg(length) FILTER (NOT is_tip) / avg(length) FILTER (is_tip) AS itr FROM nodes n JOIN tips USING (tree, node) WHERE n.parent IS NOT NULL GROUP BY ALL) USING (tree) JOIN l USING (tree)""")
+def tree_shape(spark, d):
+    """Ladders, balance of cherries, changes of width, branch ratio and gamma of each tree."""
+    s = T.shape(_tree(spark, d))
+    return s.select("tree", "il_nodes", "max_ladder", "max_delta_width", *[F.round(c, 8).alias(c) for c in ("prop_unbalanced", "mean_balance", "width_depth", "int_tip_ratio")], F.round("gamma", 6).alias("gamma"))
+
+
 EDGES_SQL = f"{BY_FILE}, e AS (SELECT DISTINCT least(path, dep_path) AS a, greatest(path, dep_path) AS b FROM dep WHERE path IS NOT NULL AND dep_path IS NOT NULL)"
 
 

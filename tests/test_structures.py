@@ -85,7 +85,7 @@ def test_balance_and_distance(spark):
     assert (got["t"].ntip, got["t"].sackin, got["t"].cherries, got["t"].colless, got["t"].width) == (5, 12, 2, 2, 4)
     assert got["t"].cophenetic == 1 + 3 + 1 and got["one"].ntip == 1 and got["one"].sackin == 0
     q = spark.createDataFrame([("t", "a", "e"), ("t", "d", "e"), ("t", "a", "a")], "tree string, a string, b string")
-    assert {(r.a, r.b): r.distance for r in trees.patristic(trees.depths(df), q).collect()} == {("a", "e"): 6.0, ("d", "e"): 2.0, ("a", "a"): 0.0}
+    assert {(r.a, r.b): r.distance for r in trees.patristic(df, q).collect()} == {("a", "e"): 6.0, ("d", "e"): 2.0, ("a", "a"): 0.0}
 
 
 def test_step_distance(spark):
@@ -240,8 +240,85 @@ def test_unfinished_rounds_raise(spark):
         catalogue.closure(edges, seeds, 3)
     with pytest.raises(ValueError):
         graphs.components(edges, 1)
-    nodes = spark.createDataFrame([("t", "a", None, 0.0), ("t", "b", "a", 1.0), ("t", "c", "b", 1.0), ("t", "d", "a", 1.0), ("t", "e", "a", 1.0)], "tree string, node string, parent string, length double")
-    drop = spark.createDataFrame([("t", "c")], "tree string, node string")
-    assert {r.node for r in trees.prune(nodes, drop, 2).collect()} == {"a", "d", "e"}
-    with pytest.raises(ValueError):
-        trees.prune(nodes, drop, 1)
+
+
+def random_tree(r, n, ladder):
+    """parents of node i among the nodes before it; a ladder hangs every node on the last but one."""
+    return {i: (None if i == 0 else (i - 1 if ladder and i % 3 else r.randrange(i)), float(r.randint(0, 6))) for i in range(n)}
+
+
+@pytest.mark.parametrize("ladder", [False, True])
+def test_trees_equal_brute_force(spark, ladder):
+    r = random.Random(ladder)
+    forests = {f"t{k}": random_tree(r, n, ladder) for k, n in enumerate([1, 2, 40, 90])}
+    nodes = spark.createDataFrame([(t, str(i), None if p is None else str(p), None if length == 6 else length) for t, f in forests.items() for i, (p, length) in f.items()], "tree string, node string, parent string, length double")
+    size = {t: {i: (p, 0.0 if length == 6 or p is None else length) for i, (p, length) in f.items()} for t, f in forests.items()}
+
+    def way(t, i):
+        out, d = [], 0.0
+        while i is not None:
+            out.append((i, d))
+            p, length = size[t][i]
+            d, i = d + length, p
+        return out
+
+    tips = {t: [i for i in f if not any(p == i for p, _ in f.values())] for t, f in forests.items()}
+    got = {(x.tree, int(x.node)): x for x in trees.labelled(nodes).collect()}
+    assert len(got) == sum(map(len, forests.values()))
+    for t, f in forests.items():
+        below = {i: [dict(way(t, j))[i] for j in tips[t] if i in dict(way(t, j))] for i in f}
+        for i in f:
+            x = got[t, i]
+            assert (x.depth, x.height, x.tips, x.near) == (len(way(t, i)) - 1, way(t, i)[-1][1], len(below[i]), min(below[i]))
+
+    def distance(t, a, b):
+        wa, wb = dict(way(t, a)), dict(way(t, b))
+        return min(wa[k] + wb[k] for k in wa if k in wb)
+
+    pairs = [(t, str(a), str(b)) for t, f in forests.items() for a in f for b in f if (a * 7 + b) % 11 == 0]
+    far = trees.patristic(nodes, spark.createDataFrame([*pairs, ("t2", "0", "none")], "tree string, a string, b string")).collect()
+    assert len(far) == len(pairs) and all(x.distance == distance(x.tree, int(x.a), int(x.b)) for x in far)
+    for cutoff in (0.0, 3.0, 7.0):
+        root = {(t, i): (t, i) for t in tips for i in tips[t]}
+        for t in tips:
+            for a in tips[t]:
+                for b in tips[t]:
+                    if distance(t, a, b) <= cutoff:
+                        x, y = root[t, a], root[t, b]
+                        root = {k: x if v == y else v for k, v in root.items()}
+        label = {(x.tree, int(x.tip)): (x.tree, x.cluster) for x in trees.distance_clusters(nodes, cutoff).collect()}
+        assert set(label) == set(root) and len({(label[k], root[k]) for k in root}) == len(set(label.values())) == len(set(root.values()))
+    gone = {(t, i) for t in tips for i in tips[t] if i % 3}
+    kept = {(x.tree, int(x.node)): x for x in trees.prune(nodes, spark.createDataFrame([(t, str(i)) for t, i in gone], "tree string, node string")).collect()}
+    for t in tips:
+        stay = [i for i in tips[t] if (t, i) not in gone]
+        assert {i for (tt, i) in kept if tt == t} >= set(stay)
+        kids = {}
+        for (tt, i), x in kept.items():
+            if tt == t and x.parent is not None:
+                kids.setdefault(int(x.parent), []).append(i)
+                assert x.length == dict(way(t, i))[int(x.parent)]
+        assert all(len(v) > 1 for v in kids.values()) and {i for (tt, i) in kept if tt == t} == set(stay) | set(kids)
+
+
+def test_shape_of_a_tree(spark):
+    """A caterpillar of five tips with unit steps: three il nodes in a row above a cherry; gamma by hand."""
+    rows = [("t", "r", None, 0.0), ("t", "a", "r", 1.0), ("t", "1", "r", 4.0), ("t", "b", "a", 1.0), ("t", "2", "a", 3.0), ("t", "c", "b", 1.0), ("t", "3", "b", 2.0), ("t", "4", "c", 1.0), ("t", "5", "c", 1.0), ("s", "x", None, 1.0)]
+    got = {x.tree: x for x in trees.shape(spark.createDataFrame(rows, "tree string, node string, parent string, length double")).collect()}
+    t, s = got["t"], got["s"]
+    assert (t.il_nodes, t.max_ladder, t.max_delta_width, t.prop_unbalanced, round(t.mean_balance, 6), t.width_depth) == (3, 3, 1, 0.75, round((1 / 4 + 1 / 3 + 1 / 2 + 1) / 4, 6), 0.5)
+    total = 2 + 3 + 4 + 5
+    assert abs(t.gamma - ((2 + 5 + 9) / 3 - total / 2) / (total * (1 / 36) ** 0.5)) < 1e-12 and abs(t.int_tip_ratio - 1.0 / 2.2) < 1e-12
+    assert (s.il_nodes, s.max_ladder, s.gamma, s.width_depth) == (0, 0, None, None)
+
+
+def test_many_step_curves(spark):
+    r = random.Random(4)
+    steps = lambda n: sorted((r.randint(0, 8) / 8, r.randint(0, 6) / 6) for _ in range(n))
+    curves = {f"k{i}": [(x, max(f for y, f in c if y <= x)) for x, _ in c] for i in range(25) for c in [steps(r.randint(1, 6))]}
+    ref = [(x, max(f for y, f in c if y <= x)) for c in [steps(7)] for x, _ in c]
+    at = lambda c, x: max([f for y, f in c if y <= x], default=0.0)
+    want = {k: sum(abs(at(c, i / 8) - at(ref, i / 8)) / 8 for i in range(8)) for k, c in curves.items()}
+    df = spark.createDataFrame([(k, x, f) for k, c in curves.items() for x, f in c] + [(None, 0.5, 1.0), ("k0", None, 1.0)], "k string, x double, f double")
+    got = {x.k: x.distance for x in trees.step_distance(df, "k", spark.createDataFrame(ref, "x double, f double")).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
