@@ -2,7 +2,7 @@
 
 Method: an ordered disjoint-interval map per entity in keyed state; each insertion finds the overlapped stretch by
 binary search, merges it and so updates the gaps. Rows are hashed by entity (and by chunk of the starts for entities
-above CHUNK_ROWS rows), sorted by that key within the partition, and streamed through one map at a time. Periods of
+above MAP_ROWS rows), sorted by that key within the partition, and streamed through one map at a time. Periods of
 entities that were cut into chunks are stitched across chunk borders afterwards.
 """
 
@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import CHUNK, CHUNK_ROWS, _same, chunked, previous
+from .ordered import CHUNK, _same, chunked, previous
+
+#: Intervals of one entity in one map: insertion moves what lies behind it, so maps stay smaller than sorted groups.
+MAP_ROWS = 100_000
 
 
 class IntervalMap:
@@ -100,7 +103,7 @@ def _stitch(parts: DataFrame, target: int) -> DataFrame:
     return both.select("entity", F.explode(F.array_compact(F.array(period, gap))).alias("p")).select("entity", "p.*")
 
 
-def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, target: int = CHUNK_ROWS) -> DataFrame:
+def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, target: int = MAP_ROWS) -> DataFrame:
     """Continuous periods of each entity and the gaps between successive ones, both ends included.
 
     Returns (entity column, kind 'period' | 'gap', range_start, range_end), one row each. The two ends of an interval
@@ -114,8 +117,8 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, target: i
     if c.hot is None:
         out = _maps(c.rows, True)
     else:
-        keys = F.broadcast(c.hot)  # MAX_CHUNKS rows at most
-        on = F.col("entity").eqNullSafe(F.col("_k0"))
+        keys = F.broadcast(c.hot)
+        on = F.col("entity").eqNullSafe(F.col("_hot_k0"))
         out = _maps(c.rows.join(keys, on, "left_anti"), True).drop(CHUNK)
         out = out.unionByName(_stitch(_maps(c.rows.join(keys, on, "left_semi"), False).drop("kind"), target))
     return out.select(F.col("entity").alias(entity), "kind", "range_start", "range_end")

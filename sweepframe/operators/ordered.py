@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 
 #: Rows of one group that one task handles; larger groups are cut.
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 500_000
 #: Most chunks of all cut groups together (chunks grow beyond it) and rows drawn to place one cut: they bound what is broadcast.
 MAX_CHUNKS, DRAWN = 20_000, 32
 CHUNK = "_chunk"
@@ -23,16 +23,16 @@ BLOCK = 64
 
 @dataclass
 class Chunked:
-    """rows: df with the column _chunk (0 for groups that are not cut); hot: the keys of the cut groups (_k0, _k1, ...), None if there are none."""
+    """rows: df with the column _chunk (0 for groups that are not cut); hot: the keys of the cut groups (_hot_k0, _hot_k1, ...), None if there are none."""
 
     rows: DataFrame
     hot: DataFrame | None
 
 
 def _chunk_of(x: Column) -> Column:
-    """How many of the sorted _bounds are at most x: blocks first, then inside one block."""
-    before = F.size(F.filter("_heads", lambda b: b <= x)) - 1
-    inside = F.size(F.filter(F.slice("_bounds", F.greatest(before, F.lit(0)) * BLOCK + 1, BLOCK), lambda b: b <= x))
+    """How many of the sorted _hot_bounds are at most x: blocks first, then inside one block."""
+    before = F.size(F.filter("_hot_heads", lambda b: b <= x)) - 1
+    inside = F.size(F.filter(F.slice("_hot_bounds", F.greatest(before, F.lit(0)) * BLOCK + 1, BLOCK), lambda b: b <= x))
     return F.when(before < 0, 0).otherwise(before * BLOCK + inside)
 
 
@@ -45,30 +45,30 @@ def chunked(df: DataFrame, keys: list[str], order: list[str], target: int = CHUN
     a wrong estimate changes the size of chunks only. Rows that are equal in all order columns stay together. Rows are
     neither dropped nor reordered.
     """
-    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > target)
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_hot_n")).where(F.col("_hot_n") > target)
     found = counts.limit(MAX_CHUNKS + 1).collect()
     if not found:
         return Chunked(df.withColumn(CHUNK, F.lit(0)), None)
     if len(found) > MAX_CHUNKS:  # more than MAX_CHUNKS times target rows: cut into larger chunks
-        target = -(-counts.agg(F.sum("_n")).first()[0] // MAX_CHUNKS)
-        found = counts.where(F.col("_n") > target).collect()
+        target = -(-counts.agg(F.sum("_hot_n")).first()[0] // MAX_CHUNKS)
+        found = counts.where(F.col("_hot_n") > target).collect()
         if not found:
             return Chunked(df.withColumn(CHUNK, F.lit(0)), None)
-    target = max(target, -(-sum(r["_n"] for r in found) // MAX_CHUNKS))
-    own = [f"_k{i}" for i in range(len(keys))]
-    hot = df.sparkSession.createDataFrame(found, counts.schema).toDF(*own, "_n").withColumn("_cut", F.ceil(F.col("_n") / target))
+    target = max(target, -(-sum(r["_hot_n"] for r in found) // MAX_CHUNKS))
+    own = [f"_hot_k{i}" for i in range(len(keys))]
+    hot = df.sparkSession.createDataFrame(found, counts.schema).toDF(*own, "_hot_n").withColumn("_hot_cut", F.ceil(F.col("_hot_n") / target))
     on = F.lit(True)
     for k, o in zip(keys, own):
         on = on & F.col(k).eqNullSafe(F.col(o))
     x = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
-    drawn = df.join(F.broadcast(hot), on).where(F.rand(17) * F.col("_n") < F.col("_cut") * DRAWN).select(*own, "_cut", x.alias("_x"))
-    some = drawn.groupBy(*own).agg(F.max("_cut").alias("_cut"), F.sort_array(F.collect_list("_x")).alias("_all"))
-    pick = F.transform(F.sequence(F.lit(1), F.col("_cut")), lambda i: F.get("_all", F.floor(F.size("_all") * i / F.col("_cut")).cast("int")))
-    some = some.select(*own, F.array_distinct(F.array_compact(pick)).alias("_bounds"))
+    drawn = df.join(F.broadcast(hot), on).where(F.rand(17) * F.col("_hot_n") < F.col("_hot_cut") * DRAWN).select(*own, "_hot_cut", x.alias("_hot_x"))
+    some = drawn.groupBy(*own).agg(F.max("_hot_cut").alias("_hot_cut"), F.sort_array(F.collect_list("_hot_x")).alias("_hot_all"))
+    pick = F.transform(F.sequence(F.lit(1), F.col("_hot_cut")), lambda i: F.get("_hot_all", F.floor(F.size("_hot_all") * i / F.col("_hot_cut")).cast("int")))
+    some = some.select(*own, F.array_distinct(F.array_compact(pick)).alias("_hot_bounds"))
     # written once: every later use sees the same cuts
-    some = materialise(some.withColumn("_heads", F.filter("_bounds", lambda b, i: i % BLOCK == 0)), "chunks")
+    some = materialise(some.withColumn("_hot_heads", F.filter("_hot_bounds", lambda b, i: i % BLOCK == 0)), "chunks")
     rows = df.join(F.broadcast(some), on, "left").withColumn(CHUNK, F.coalesce(_chunk_of(x), F.lit(0)).cast("int"))
-    return Chunked(rows.drop("_bounds", "_heads", *own), some.select(*own))
+    return Chunked(rows.drop("_hot_bounds", "_hot_heads", *own), some.select(*own))
 
 
 def _same(a: str, b: str, names: list[str]) -> Column:

@@ -200,7 +200,7 @@ def lineages(df: DataFrame, keys: list[str], time: Column) -> DataFrame:
     d = distribution(t, keys, "x", F.lit(1.0))
     span = d.groupBy(*keys).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     j = d.join(span, keys).where("hi > lo")
-    return materialise(j.select(*keys, ((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x"), (F.col("cum") / F.col("total")).alias("f")), "lineages")
+    return j.select(*keys, ((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("x"), (F.col("cum") / F.col("total")).alias("f"))
 
 
 def nltt_curves(nodes: DataFrame) -> DataFrame:
@@ -222,26 +222,27 @@ def step_distance(curves: DataFrame, key: str, reference: DataFrame) -> DataFram
     are looked up, by place and by value, so the cost follows the knots of the curves, however many there are, and the
     reference is read once. A null key has no row.
     """
-    ref = reference.where("x is not null and f is not null").groupBy("x").agg(F.max("f").alias("f")).withColumn("_all", F.lit(0))
+    ref = materialise(reference.where("x is not null and f is not null").groupBy("x").agg(F.max("f").alias("f")).withColumn("_all", F.lit(0)), "reference")
     ref = previous(ref, ["_all"], ["x"], ["x", "f"], "_b")
     ref = running_sum(ref, ["_all"], ["x"], {"area": F.coalesce((F.col("x") - F.col("_b.x")) * F.col("_b.f"), F.lit(0.0))})
     ref = materialise(ref.select("_all", "x", "f", "area"), "reference")
     own = curves.where(F.col(key).isNotNull() & F.col("x").isNotNull() & F.col("f").isNotNull()).groupBy(key, "x").agg(F.max("f").alias("f"))
     ends = own.groupBy(key).agg(F.lit(1.0).alias("x"), F.lit(None).cast("double").alias("f"))
     starts = own.groupBy(key).agg(F.lit(0.0).alias("x"), F.lit(0.0).alias("f"))
-    own = own.unionByName(ends).unionByName(starts).groupBy(key, "x").agg(F.max("f").alias("f")).withColumn("_all", F.lit(0))
+    own = materialise(own.unionByName(ends).unionByName(starts).groupBy(key, "x").agg(F.max("f").alias("f")).withColumn("_all", F.lit(0)), "curves")
     knot = F.struct("x", "f", "area")
     empty = F.lit(None).cast("struct<x:double,f:double,area:double>")
     kind = curves.schema[key].dataType.simpleString()
     # the reference's area up to each knot of a curve
     line = ref.select("_all", "x", F.lit(0).alias("_o"), F.lit(None).cast(kind).alias(key), F.lit(None).cast("double").alias("f"), knot.alias("_at")).unionByName(own.select("_all", "x", F.lit(1).alias("_o"), key, "f", empty.alias("_at")))
     own = last_known(line, ["_all"], ["x", "_o", key], "_at", "_g").where("_o = 1")
-    own = own.select("_all", key, "x", "f", F.coalesce(F.col("_g.area") + F.col("_g.f") * (F.col("x") - F.col("_g.x")), F.lit(0.0)).alias("upto"))
+    own = materialise(own.select("_all", key, "x", "f", F.coalesce(F.col("_g.area") + F.col("_g.f") * (F.col("x") - F.col("_g.x")), F.lit(0.0)).alias("upto")), "curves")
     # where the reference first reaches the value that begins at the knot: among values from above, the last one not below it
     none = F.lit(None).cast("double")
     line = ref.select("_all", (-F.col("f")).alias("_v"), F.lit(0).alias("_o"), (-F.col("x")).alias("_n"), F.lit(None).cast(kind).alias(key), none.alias("x"), none.alias("f"), none.alias("upto"), knot.alias("_at"))
     line = line.unionByName(own.select("_all", (-F.col("f")).alias("_v"), F.lit(1).alias("_o"), (-F.col("x")).alias("_n"), key, "x", "f", "upto", empty.alias("_at")))
-    own = last_known(line, ["_all"], ["_v", "_o", "_n", key], "_at", "_c").where("_o = 1").select(key, "x", "f", "upto", F.col("_c.x").alias("_cx"), F.col("_c.area").alias("_ca"))
+    own = last_known(line, ["_all"], ["_v", "_o", "_n", key], "_at", "_c").where("_o = 1")
+    own = materialise(own.select(key, "x", "f", "upto", F.col("_c.x").alias("_cx"), F.col("_c.area").alias("_ca")), "curves")
     piece = previous(own, [key], ["x"], ["x", "f", "upto", "_cx", "_ca"], "b").where("b is not null")
     b = F.col("b")
     # the reference is below the value up to the crossing t and at or above it from there on

@@ -126,7 +126,7 @@ def tree_clusters(spark, d):
  il AS (SELECT kids.tree, kids.node, h.parent FROM kids JOIN h USING (tree, node) WHERE k > 1 AND kt = 1), run AS (SELECT tree, node, 1 AS n FROM il UNION ALL SELECT il.tree, il.node, run.n + 1 FROM run JOIN il ON il.tree = run.tree AND il.parent = run.node),
  w AS (SELECT tree, depth, count(*) AS n FROM h GROUP BY ALL), inn AS (SELECT h.tree, h.height, h.node, k - 1 AS more FROM kids JOIN h USING (tree, node)),
  g AS (SELECT tree, height, node, sum(more) OVER o AS lin, coalesce((sum(more) OVER o - more + 1) * (height - lag(height) OVER o), 0) AS a FROM inn WINDOW o AS (PARTITION BY tree ORDER BY height, node)),
- t AS (SELECT tree, height, lin, sum(a) OVER (PARTITION BY tree ORDER BY height, node) AS t FROM g), l AS (SELECT tree, count(*) - 1 AS m, sum(t) AS s, max(t) + (max(lin) + 1) * ((SELECT max(height) FROM h WHERE h.tree = t.tree) - max(height)) AS tt FROM t GROUP BY ALL)
+ t AS (SELECT tree, height, lin, sum(a) OVER (PARTITION BY tree ORDER BY height, node) AS t FROM g), top AS (SELECT tree, max(height) AS top FROM h GROUP BY ALL), l AS (SELECT tree, count(*) - 1 AS m, sum(t) AS s, max(t) + (max(lin) + 1) * (max(top) - max(height)) AS tt FROM t JOIN top USING (tree) GROUP BY ALL)
 SELECT tree, il_nodes, coalesce(max_ladder, 0) AS max_ladder, max_delta_width, round(pu, 8) AS prop_unbalanced, round(mb, 8) AS mean_balance, round(wd, 8) AS width_depth, round(itr, 8) AS int_tip_ratio, round((s / m - tt / 2) / (tt * sqrt(1 / (12.0 * m))), 6) AS gamma
 FROM (SELECT tree, count(*) FILTER (k > 1 AND kt = 1) AS il_nodes, avg((hi <> lo)::INT) FILTER (k = 2) AS pu, avg(lo / hi) FILTER (k = 2) AS mb FROM kids GROUP BY ALL) LEFT JOIN (SELECT tree, max(n) AS max_ladder FROM run GROUP BY ALL) USING (tree)
  JOIN (SELECT tree, max(n) / max(depth) AS wd, max(dw) AS max_delta_width FROM (SELECT *, abs(n - lag(n) OVER (PARTITION BY tree ORDER BY depth)) AS dw FROM w) GROUP BY ALL) USING (tree)
