@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 #: Landmarks of the Nystrom approximation: a bounded sample by hash of the id. The model's size does not grow with the data.
 LANDMARKS = 128
-QUERY_ROWS = 20_000
+#: Queries that are scored in one pass over the rows (what the driver broadcasts), and the sides of one block of scores (16 MB).
+QUERY_ROWS, BLOCK_QUERIES, BLOCK_SIDE = 20_000, 2_048, 1_024
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -25,6 +26,19 @@ def _rbf(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
     return np.exp(-gamma * np.maximum(d, 0))
 
 
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k greatest scores of each row and their ids, ties to the smaller id; sorts only rows with a tie at the border."""
+    if score.shape[1] <= k:
+        return score, ids
+    part = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    best, own = np.take_along_axis(score, part, 1), np.take_along_axis(ids, part, 1)
+    tied = np.flatnonzero((score >= best.min(1)[:, None]).sum(1) > k)
+    if len(tied):
+        order = np.lexsort((ids[tied], -score[tied]), axis=1)[:, :k]
+        best[tied], own[tied] = np.take_along_axis(score[tied], order, 1), np.take_along_axis(ids[tied], order, 1)
+    return best, own
+
+
 def nearest_by_kernel(df: DataFrame, id_col: str, vector: str, queries: DataFrame, gamma: float, k: int) -> DataFrame:
     """(query_id, id, kernel, rank): the k rows most similar to each query by the RBF kernel, ties to the smaller id.
 
@@ -43,14 +57,18 @@ def nearest_by_kernel(df: DataFrame, id_col: str, vector: str, queries: DataFram
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q = shared.value
-            best_k, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+            slices = range(0, len(ids), BLOCK_QUERIES)
+            best = {i: (np.zeros((len(ids[i : i + BLOCK_QUERIES]), 0)), np.zeros((len(ids[i : i + BLOCK_QUERIES]), 0), np.int64)) for i in slices}
             for b in batches:
-                score, own = _rbf(q, _matrix(b.column(1)), gamma).round(9), b.column(0).to_numpy(zero_copy_only=False)
-                score, own = np.hstack([best_k, score]), np.hstack([best_id, np.broadcast_to(own, (len(ids), len(own)))])
-                take = np.lexsort((own, -score), axis=1)[:, :k]
-                best_k, best_id = np.take_along_axis(score, take, 1), np.take_along_axis(own, take, 1)
-            n = best_k.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n), pa.int64()), pa.array(best_id.ravel(), pa.int64()), pa.array(best_k.ravel(), pa.float64())], ["query_id", "id", "kernel"])
+                rows, names = _matrix(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
+                for j in range(0, len(names), BLOCK_SIDE):
+                    own = names[j : j + BLOCK_SIDE]
+                    for i in slices:
+                        score = _rbf(q[i : i + BLOCK_QUERIES], rows[j : j + BLOCK_SIDE], gamma).round(9)
+                        best[i] = _best(np.hstack([best[i][0], score]), np.hstack([best[i][1], np.broadcast_to(own, score.shape)]), k)
+            for i in slices:
+                score, own = best[i]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[i : i + BLOCK_QUERIES], score.shape[1]), pa.int64()), pa.array(own.ravel(), pa.int64()), pa.array(score.ravel(), pa.float64())], ["query_id", "id", "kernel"])
 
         found = df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("bigint"), vector).mapInArrow(run, "query_id bigint, id bigint, kernel double")
         out = found if out is None else out.unionByName(found)
