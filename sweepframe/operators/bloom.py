@@ -23,47 +23,44 @@ def _bits(keys: int) -> int:
     return min(MAX_BITS, max(SEGMENT, 1 << max(0, int(keys * 10 - 1).bit_length())))
 
 
-def _positions(h1: np.ndarray, h2: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Double hashing: HASHES positions of each key."""
-    a, b = h1.astype(np.uint64), h2.astype(np.uint64) | np.uint64(1)
+def _positions(h2: np.ndarray) -> Iterator[np.ndarray]:
+    """Double hashing: HASHES positions of each key inside its segment."""
+    h = h2.astype(np.uint64)
+    a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
     for i in range(HASHES):
-        yield ((a + np.uint64(i) * b) >> np.uint64(7)) & np.uint64(bits - 1)
+        yield (a + np.uint64(i) * b) & np.uint64(SEGMENT - 1)
 
 
-def _hashes(key: Column) -> list[Column]:
-    return [F.xxhash64(key).alias("_h1"), F.xxhash64(key, F.lit(0x5EED)).alias("_h2")]
+def _hashes(key: Column, bits: int) -> list[Column]:
+    """The segment of a key and the hash that places it there."""
+    return [F.pmod(F.xxhash64(key), F.lit(bits // SEGMENT)).cast("int").alias("segment"), F.xxhash64(key, F.lit(0x5EED)).alias("_h")]
 
 
 def build(df: DataFrame, key: Column, keys: int) -> tuple[Broadcast, int]:
     """(broadcast bitmap, number of its bits) of the non-null keys; keys: about how many there are.
 
-    Every partition sets its own bits; segments of the bitmap are united by a shuffle, at most MAX_BITS in all.
+    All bits of a key are in one segment of the bitmap. Keys are shuffled by segment, 12 bytes each, and every task sets
+    the bits of its own segments as the keys stream by, so the shuffle doesn't grow with the number of tasks.
     """
     bits = _bits(keys)
+    size = SEGMENT // 8
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.zeros(bits // 8, np.uint8)
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
         for b in batches:
-            h1, h2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for at in _positions(h1, h2, bits):
-                np.bitwise_or.at(bitmap, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
-        size = SEGMENT // 8
-        for s in range(bits // SEGMENT):
-            part = bitmap[s * size : (s + 1) * size]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["segment", "bitmap"])
-
-    def united(pdf: pd.DataFrame) -> pd.DataFrame:
-        whole = np.zeros(SEGMENT // 8, np.uint8)
-        for part in pdf["bitmap"]:
-            whole |= np.frombuffer(part, np.uint8)
-        return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "bitmap": [whole.tobytes()]})
-
-    schema = "segment int, bitmap binary"
-    rows = df.where(key.isNotNull()).select(*_hashes(key)).mapInArrow(partial, schema).groupBy("segment").applyInPandas(united, schema).collect()
+            segment, h = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for s in np.unique(segment):
+                bitmap = own.setdefault(int(s), np.zeros(size, np.uint8))
+                for at in _positions(h[segment == s]):
+                    np.bitwise_or.at(bitmap, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([m.tobytes() for m in own.values()], pa.binary())], ["segment", "bitmap"])
+
+    parts = min(bits // SEGMENT, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = df.where(key.isNotNull()).select(*_hashes(key, bits)).repartition(parts, "segment")
     bitmap = bytearray(bits // 8)
-    for r in rows:
-        bitmap[r.segment * (SEGMENT // 8) : (r.segment + 1) * (SEGMENT // 8)] = r.bitmap
+    for r in placed.mapInArrow(fill, "segment int, bitmap binary").collect():  # MAX_BITS at most
+        bitmap[r.segment * size : (r.segment + 1) * size] = r.bitmap
     return df.sparkSession.sparkContext.broadcast(bytes(bitmap)), bits
 
 
@@ -72,12 +69,13 @@ def might_contain(key: Column, filter_: tuple[Broadcast, int]) -> Column:
     shared, bits = filter_
 
     @F.pandas_udf("boolean")
-    def probe(h1: pd.Series, h2: pd.Series) -> pd.Series:
+    def probe(segment: pd.Series, h: pd.Series) -> pd.Series:
         bitmap = np.frombuffer(shared.value, np.uint8)
-        hit = np.ones(len(h1), bool)
-        for at in _positions(h1.to_numpy(np.int64), h2.to_numpy(np.int64), bits):
+        start = segment.to_numpy(np.uint64) * np.uint64(SEGMENT)
+        hit = np.ones(len(h), bool)
+        for at in _positions(h.to_numpy(np.int64)):
+            at = start + at
             hit &= (bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return pd.Series(hit)
 
-    h1, h2 = _hashes(key)
-    return key.isNotNull() & probe(h1, h2)
+    return key.isNotNull() & probe(*_hashes(key, bits))

@@ -34,7 +34,7 @@ def orphans(refs: DataFrame, parents: DataFrame, key: Column, stored: str, purge
     refs = refs.distinct()
     parents = parents.select(key.alias("key"), F.col(stored).alias("stored"), F.col(purged).alias("purged")).where("key is not null")
     seen = bloom.build(parents, F.col("key"), parents.count())
-    probed = refs.withColumn("_maybe", bloom.might_contain(F.col("key"), seen))
+    probed = materialise(refs.withColumn("_maybe", bloom.might_contain(F.col("key"), seen)), "probed")  # read and probed once
     definite = probed.where(~F.col("_maybe")).select("id", "ref_field", F.lit("missing").alias("kind"), "at")
 
     gone = F.greatest("stored", "purged")
