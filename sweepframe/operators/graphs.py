@@ -67,3 +67,35 @@ def complement_counts(edges: DataFrame) -> DataFrame:
     """(node, absent): for every node the number of nodes it has no edge to, without listing the complement's edges."""
     d = degrees(edges.where("src <> dst"))
     return d.select("node", (F.lit(d.count()) - 1 - F.col("degree")).alias("absent"))
+
+
+def best_overlap(members: DataFrame, set_col: str, member: str, queries: DataFrame) -> DataFrame:
+    """(query_id, id, shared, jaccard): for each query set the other set that overlaps it most, ties to the smaller id.
+
+    members and queries: one row per set and member (a stated query set against all). Only sets that share a member meet, by
+    an equi-join on it. Queries that share none with another set have no row; nulls are no members.
+    """
+    rows = members.where(F.col(set_col).isNotNull() & F.col(member).isNotNull()).select(F.col(set_col).alias("id"), F.col(member).alias("m")).distinct()
+    asked = queries.where(F.col(set_col).isNotNull() & F.col(member).isNotNull()).select(F.col(set_col).alias("query_id"), F.col(member).alias("m")).distinct()
+    shared = asked.join(rows, "m").where("query_id <> id").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
+    size = rows.groupBy("id").agg(F.count("*").alias("_k"))
+    own = asked.groupBy("query_id").agg(F.count("*").alias("_q"))
+    j = shared.join(size, "id").join(own, "query_id").withColumn("jaccard", F.col("shared") / (F.col("_k") + F.col("_q") - F.col("shared")))
+    return j.groupBy("query_id").agg(F.min(F.struct((-F.col("jaccard")).alias("v"), "id", "shared", "jaccard")).alias("b")).select("query_id", "b.id", "b.shared", "b.jaccard")
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(triangles, transitivity) of the undirected graph of edges (src, dst): three times the triangles by the connected triples.
+
+    Every edge goes from its end of lower degree to the other, so the paths of two edges that are checked start where few
+    edges do: a hub starts none to smaller nodes.
+    """
+    e = edges.where("src is not null and dst is not null and src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    d = degrees(e)
+    ranked = e.join(d.select(F.col("node").alias("src"), F.col("degree").alias("ds")), "src").join(d.select(F.col("node").alias("dst"), F.col("degree").alias("dd")), "dst")
+    up = F.struct("ds", "src") < F.struct("dd", "dst")
+    out = materialise(ranked.select(F.when(up, F.col("src")).otherwise(F.col("dst")).alias("a"), F.when(up, F.col("dst")).otherwise(F.col("src")).alias("b")), "oriented")
+    paths = out.alias("x").join(out.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
+    n = paths.join(out, ["a", "b"]).agg(F.count("*").alias("triangles"))
+    triples = d.agg(F.sum(F.col("degree") * (F.col("degree") - 1) / 2).alias("_t"))
+    return n.withColumn("_j", F.lit(1)).join(triples.withColumn("_j", F.lit(1)), "_j").select("triangles", (3.0 * F.col("triangles") / F.nullif("_t", F.lit(0.0))).alias("transitivity"))

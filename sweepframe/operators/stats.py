@@ -79,6 +79,48 @@ def power_law(df: DataFrame, degree: str, xmin: int = 1) -> DataFrame:
     return t.agg(F.count("*").alias("n"), (1 + F.count("*") / F.sum(F.log(F.col(degree) / (xmin - 0.5)))).alias("gamma"))
 
 
+def _zeta(s: float, q):
+    """The Hurwitz zeta function, by twelve terms and the Euler-Maclaurin rest."""
+    n = 12
+    head = sum((q + k) ** -s for k in range(n))
+    return head + (q + n) ** (1 - s) / (s - 1) + (q + n) ** -s / 2 + s * (q + n) ** (-s - 1) / 12
+
+
+def power_law_fit(df: DataFrame, degree: str) -> DataFrame:
+    """(xmin, n_tail, gamma, ks, p): the discrete power law of the tail of degrees from xmin on.
+
+    For every xmin the exponent maximises the zeta likelihood; the xmin is the one whose fitted distribution is nearest to the
+    data by Kolmogorov and Smirnov's distance ks, of which p is the asymptotic p-value. Spark counts the degrees; only the
+    counts per different degree (100,000 at most, else it raises) are fitted on the driver.
+    """
+    import numpy as np
+
+    counts = df.where(F.col(degree) >= 1).groupBy(F.col(degree).cast("bigint").alias("k")).agg(F.count("*").alias("n")).orderBy("k").limit(100_001).collect()
+    if len(counts) > 100_000:
+        raise ValueError("more than 100,000 different degrees")
+    schema = "xmin bigint, n_tail bigint, gamma double, ks double, p double"
+    k, n = np.array([c.k for c in counts], float), np.array([c.n for c in counts], float)
+    best = None
+    for i in range(max(0, len(k) - 1)):
+        x, w = k[i:], n[i:]
+        total, logs = w.sum(), float((w * np.log(x)).sum())
+        lo, hi = 1.0001, 12.0
+        loss = lambda g: total * math.log(_zeta(g, x[0])) + g * logs  # noqa: E731,B023
+        for _ in range(60):  # the likelihood has one maximum
+            a, b = lo + (hi - lo) * 0.382, lo + (hi - lo) * 0.618
+            lo, hi = (lo, b) if loss(a) < loss(b) else (a, hi)
+        g = (lo + hi) / 2
+        fitted = 1 - np.array([_zeta(g, v + 1) for v in x]) / _zeta(g, x[0])
+        ks = float(np.abs(np.cumsum(w) / total - fitted).max())
+        if best is None or ks < best[3]:
+            best = (int(x[0]), int(total), g, ks)
+    if best is None:
+        return df.sparkSession.createDataFrame([], schema)
+    z = best[3] * math.sqrt(best[1])
+    p = min(1.0, max(0.0, 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * z * z) for j in range(1, 101)))) if z > 0.2 else 1.0
+    return df.sparkSession.createDataFrame([(*best, p)], schema)
+
+
 def normal_p(z: float) -> float:
     """Two-sided p-value of a normal score."""
     return math.erfc(abs(z) / math.sqrt(2))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.text import dated_precision
-from ..operators.ordered import last_known
+from ..operators.graphs import best_overlap, triangles
+from ..operators.ordered import last_known, running_sum
+from .catalogue_queries import BY_FILE, by_file
 from .registry import Registry, table
 
 R = Registry()
@@ -181,4 +185,91 @@ def embedding_norms(spark, d):
     return table(spark, d, "embeddings").select("label", norm.alias("norm")).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg("norm"), 6).alias("mean_norm"), F.round(F.max("norm"), 6).alias("max_norm"))
 
 
+@R.query("""WITH b AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), n AS (SELECT s, count(*) AS k FROM b GROUP BY ALL), o AS (SELECT x.s AS query_id, y.s AS id, count(*) AS shared FROM b x JOIN b y ON x.p = y.p AND x.s <> y.s WHERE x.s % 100 = 0 GROUP BY ALL)
+SELECT query_id, id, shared, round(shared / (q.k + n.k - shared), 8) AS jaccard FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared / (q.k + n.k - shared) DESC, id) AS r, q.k, n.k FROM o JOIN n q ON q.s = query_id JOIN n ON n.s = id) t JOIN n q ON q.s = query_id JOIN n ON n.s = id WHERE r = 1""")
+def set_overlap_best(spark, d):
+    """The supplier whose parts overlap most with those of each supplier whose number is divisible by 100, among all suppliers."""
+    b = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("id"), F.col("l_partkey").alias("part")).distinct()
+    return best_overlap(b, "id", "part", b.where("id % 100 = 0")).withColumn("jaccard", F.round("jaccard", 8))
+
+
+@R.query(f"""WITH {BY_FILE}, s AS (SELECT path, min(step) AS step FROM fil GROUP BY path) SELECT l.path, l.dep_path, c.step AS step, p.step AS dep_step, CASE WHEN c.step = p.step THEN c.step ELSE coalesce(least(c.step, p.step), '?') END AS label FROM (SELECT DISTINCT path, dep_path FROM dep WHERE path IS NOT NULL AND dep_path IS NOT NULL) l LEFT JOIN s c ON c.path = l.path LEFT JOIN s p ON p.path = l.dep_path""")
+def edge_labels(spark, d):
+    """The steps of both ends of every link, looked up in one table, and a label of the link from the two."""
+    steps = by_file(spark, d, "trace_files").groupBy("path").agg(F.min("step").alias("step"))
+    links = by_file(spark, d, "expt_dependencies").where("path is not null and dep_path is not null").select("path", "dep_path").distinct()
+    both = links.join(steps, "path", "left").join(steps.select(F.col("path").alias("dep_path"), F.col("step").alias("dep_step")), "dep_path", "left")
+    return both.select("path", "dep_path", "step", "dep_step", F.when(F.col("step") == F.col("dep_step"), F.col("step")).otherwise(F.coalesce(F.least("step", "dep_step"), F.lit("?"))).alias("label"))
+
+
+@R.query("SELECT p_partkey, (dense_rank() OVER (ORDER BY p_brand))::BIGINT AS code FROM part")
+def dense_codes(spark, d):
+    """A factor as dense integer codes in the order of its levels."""
+    t = table(spark, d, "part")
+    codes = running_sum(t.select("p_brand").distinct().withColumn("_all", F.lit(0)), ["_all"], ["p_brand"], {"code": F.lit(1)})
+    return t.join(codes, "p_brand").select("p_partkey", F.col("code").cast("bigint").alias("code"))
+
+
+@R.query("SELECT l_returnflag, l_linestatus, round(avg(l_tax), 8) AS l_tax, round(avg(l_discount), 8) AS l_discount, round(max(l_quantity), 8) AS top FROM lineitem GROUP BY ALL")
+def aggregate_by_name(spark, d):
+    """Columns chosen by pattern, aggregated over facets by functions given by name."""
+    t = table(spark, d, "lineitem")
+    named = [c for c in t.columns if re.fullmatch(r"l_(tax|disc).*", c)]
+    return t.groupBy("l_returnflag", "l_linestatus").agg(*[F.round(F.expr(f"avg({c})"), 8).alias(c) for c in named], F.round(F.expr("max(l_quantity)"), 8).alias("top"))
+
+
+@R.query("SELECT link_id, path, dep_path FROM expt_dependencies WHERE path > dep_path AND recorded_at IS NOT NULL")
+def compare_columns(spark, d):
+    """Rows where one column is greater than another."""
+    return table(spark, d, "expt_dependencies").where((F.col("path") > F.col("dep_path")) & F.col("recorded_at").isNotNull()).select("link_id", "path", "dep_path")
+
+
+@R.query("""SELECT o_orderpriority, n, (row_number() OVER (ORDER BY CASE left(o_orderpriority, 1) WHEN '3' THEN 0 WHEN '1' THEN 1 WHEN '2' THEN 2 ELSE 9 END, o_orderpriority))::INTEGER AS position FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)""")
+def custom_order(spark, d):
+    """Categories in a given order: three named first, the rest by text."""
+    t = table(spark, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    first = F.substring("o_orderpriority", 1, 1)
+    rank = F.when(first == "3", 0).when(first == "1", 1).when(first == "2", 2).otherwise(9)
+    return running_sum(t.withColumns({"_all": F.lit(0), "_r": rank}), ["_all"], ["_r", "o_orderpriority"], {"position": F.lit(1)}).select("o_orderpriority", "n", F.col("position").cast("int").alias("position"))
+
+
+@R.query("""SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS j FROM events) WHERE k > 1 AND j > 1""")
+def drop_first_and_last(spark, d):
+    """Every user's events but the first and the last, found by aggregates, without sorting a user's events."""
+    t = table(spark, d, "events").select("user_id", "ts", "event_id")
+    ends = t.groupBy("user_id").agg(F.min(F.struct("ts", "event_id")).alias("a"), F.max(F.struct("ts", "event_id")).alias("b"))
+    j = t.alias("t").join(ends.alias("e"), F.col("t.user_id").eqNullSafe(F.col("e.user_id")))
+    return j.where((F.col("t.event_id") != F.col("a.event_id")) & (F.col("t.event_id") != F.col("b.event_id"))).select("t.user_id", "t.event_id")
+
+
+@R.query("""WITH a AS (SELECT l_linenumber AS replicate, avg(l_tax) AS tax FROM lineitem WHERE l_returnflag = 'A' GROUP BY ALL), b AS (SELECT l_linenumber AS replicate, avg(l_tax) AS tax FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL)
+SELECT replicate, round(a.tax, 8) AS tax_a, round(b.tax, 8) AS tax_r FROM a FULL JOIN b USING (replicate)""")
+def bind_by_replicate(spark, d):
+    """Two results side by side by replicate."""
+    one = lambda flag, name: table(spark, d, "lineitem").where(F.col("l_returnflag") == flag).groupBy(F.col("l_linenumber").alias("replicate")).agg(F.round(F.avg("l_tax"), 8).alias(name))
+    return one("A", "tax_a").join(one("R", "tax_r"), "replicate", "full")
+
+
+@R.query("SELECT event_id, round(value * cos(radians(event_id % 360)), 6) + 0.0 AS x, round(value * sin(radians(event_id % 360)), 6) + 0.0 AS y FROM events WHERE value IS NOT NULL")
+def polar_to_rectangular(spark, d):
+    angle = F.radians(F.col("event_id") % 360)
+    return table(spark, d, "events").where("value is not null").select("event_id", (F.round(F.col("value") * F.cos(angle), 6) + 0.0).alias("x"), (F.round(F.col("value") * F.sin(angle), 6) + 0.0).alias("y"))
+
+
+@R.query("SELECT event_id, round(p, 8) AS p, round(p * (1 - p), 8) AS d1, round(p * (1 - p) * (1 - 2 * p), 8) AS d2 FROM (SELECT event_id, 1 / (1 + exp(-value / 100)) AS p FROM events WHERE value IS NOT NULL)")
+def logistic_derivatives(spark, d):
+    """The logistic function and its first two derivatives."""
+    p = 1 / (1 + F.exp(-F.col("value") / 100))
+    return table(spark, d, "events").where("value is not null").select("event_id", F.round(p, 8).alias("p"), F.round(p * (1 - p), 8).alias("d1"), F.round(p * (1 - p) * (1 - 2 * p), 8).alias("d2"))
+
+
+@R.query("""WITH e AS (SELECT DISTINCT least(l_suppkey, l_partkey) AS a, greatest(l_suppkey, l_partkey) AS b FROM lineitem WHERE l_suppkey <> l_partkey AND l_partkey <= (SELECT max(s_suppkey) FROM supplier)), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), d AS (SELECT a AS node, count(*) AS k FROM s GROUP BY ALL),
+ t AS (SELECT count(*) AS n FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b) SELECT (SELECT n FROM t) AS triangles, round(3.0 * (SELECT n FROM t) / sum(k * (k - 1) / 2), 8) AS transitivity FROM d""")
+def transitivity(spark, d):
+    """Triangles and transitivity of the subgraph that the suppliers' numbers induce in the graph of suppliers and parts."""
+    top = table(spark, d, "supplier").agg(F.max("s_suppkey")).scalar()
+    e = table(spark, d, "lineitem").where(F.col("l_partkey") <= top).select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return triangles(e).withColumn("transitivity", F.round("transitivity", 8))
+
+
 QUERIES, ORACLE = R.queries, R.oracle

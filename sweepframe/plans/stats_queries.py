@@ -71,14 +71,29 @@ def effective_sample_size(spark, d):
 @R.query()
 def glm_gamma_log(spark, d):
     """Gamma regression with log link and an interaction, fitted by Spark ML over all lines."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    t = table(spark, d, "lineitem").where("l_extendedprice > 0 and l_quantity is not null and l_discount is not null").select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") / 50).alias("q"), F.col("l_discount").alias("c")).withColumn("qc", F.col("q") * F.col("c"))
-    model = GeneralizedLinearRegression(family="gamma", link="log", maxIter=25).fit(VectorAssembler(inputCols=["q", "c", "qc"], outputCol="features").transform(t))
-    s = model.summary
-    rows = [("(intercept)", model.intercept), *zip(["q", "c", "q:c"], (float(v) for v in model.coefficients))]
-    return spark.createDataFrame([(n, float(v), int(s.degreesOfFreedom)) for n, v in rows], "term string, estimate double, df bigint")
+    t = table(spark, d, "lineitem").where("l_extendedprice > 0").select(F.col("l_extendedprice").alias("label"), (F.col("l_quantity") / 50).alias("q"), F.col("l_discount").alias("c"))
+    rows = S.glm(t, "label", [("q",), ("c",), ("q", "c")], "gamma", "log")
+    return spark.createDataFrame([(n, float(v), float(p)) for n, v, p in rows], "term string, estimate double, p double")
+
+
+@R.query()
+def power_law_tail(spark, d):
+    """The tail of the numbers of lines per part."""
+    return S.power_law_fit(table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("k")), "k")
+
+
+@R.query()
+def p_values(spark, d):
+    """Statistic and p-value of the rank-sum test of order prices by status, the analysis of variance of event values and the
+    rank correlations of each event type, the last also adjusted by Holm's method."""
+    w = S.rank_sum(table(spark, d, "orders").where("o_orderstatus is not null"), "o_totalprice", F.col("o_orderstatus") == "F").first()
+    f = S.anova(table(spark, d, "events"), "event_type", "value").first()
+    rho = S.spearman(table(spark, d, "events"), ["event_type"], "value", "user_id").orderBy("event_type").collect()  # one row per type
+    rows = [("rank_sum", w.z, S.normal_p(w.z)), ("anova", f.f, S.f_p(f.f, f.k - 1, f.n - f.k))]
+    t = [(r.event_type, r.rho, S.student_p(r.rho * ((r.n - 2) / (1 - r.rho**2)) ** 0.5, r.n - 2)) for r in rho]
+    out = spark.createDataFrame([(a, float(b), float(c)) for a, b, c in rows], "test string, statistic double, p double").withColumn("p_holm", F.lit(None).cast("double"))
+    adjusted = S.holm(spark.createDataFrame([("spearman " + a, float(b), float(c)) for a, b, c in t], "test string, statistic double, p double"), "p", ["test"])
+    return out.unionByName(adjusted)
 
 
 QUERIES, ORACLE = R.queries, R.oracle
