@@ -108,3 +108,17 @@ def pack(items: DataFrame, item: str, size: str, budgets: list[tuple[int, int]],
             yield packed()
 
     return rows.mapInArrow(run, schema)
+
+
+def usage(packed: DataFrame, budgets: list[tuple[int, int]]) -> DataFrame:
+    """(budget_id, capacity_tokens, n_containers, least_containers, fullest, unused_share) of the containers of pack().
+
+    least_containers: the total by the capacity, rounded up, which no packing can do with fewer. unused_share: the space that
+    stays empty by that of all containers. Sums per container are taken on the map side first; budgets without items have
+    no row.
+    """
+    limits = F.create_map(*[F.lit(x) for b, c in budgets if b is not None and c is not None and c >= 1 for x in (int(b), int(c))])
+    load = packed.groupBy("budget_id", "container_id").agg(F.sum("n_tokens").alias("_load"))
+    t = load.groupBy("budget_id").agg(F.count("*").alias("n_containers"), F.sum("_load").alias("_total"), F.max("_load").alias("fullest")).withColumn("capacity_tokens", limits[F.col("budget_id")].cast("bigint"))
+    space = F.col("capacity_tokens") * F.col("n_containers")
+    return t.select("budget_id", "capacity_tokens", "n_containers", F.ceil(F.col("_total") / F.col("capacity_tokens")).alias("least_containers"), "fullest", (1 - F.col("_total") / space).alias("unused_share"))

@@ -19,13 +19,22 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(_documents(spark, d), "doc_id", "text")
 
 
-def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+def _budgets(spark: SparkSession, d: str) -> list[tuple[int, int]]:
     budgets = bounded_rows(spark.read.parquet(f"{d}/token_budgets.parquet").select("budget_id", "capacity_tokens"), 1_000)
     if budgets is None:
         raise ValueError("token_budgets must be a small dimension table")
+    return [tuple(b) for b in budgets]
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
     sizes = tokens.encode(docs, "doc_id", "text", counts_only=True)
-    return packing.pack(sizes, "doc_id", "n_tokens", [tuple(b) for b in budgets], docs.count())
+    return packing.pack(sizes, "doc_id", "n_tokens", _budgets(spark, d), docs.count())
+
+
+def p8_usage(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers each budget takes, how many no packing could do without, and the share of space unused."""
+    return packing.usage(p8_containers(spark, d), _budgets(spark, d))
 
 
 def _names(spark: SparkSession, d: str) -> pii.Names:
@@ -40,4 +49,4 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(_documents(spark, d), "doc_id", "text", _names(spark, d), SURROGATE_KEY)
 
 
-QUERIES = {f.__name__: f for f in (p7_ids, p8_containers, p9_found, p9_redacted)}
+QUERIES = {f.__name__: f for f in (p7_ids, p8_containers, p8_usage, p9_found, p9_redacted)}

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import itertools
 import os
 import tempfile
 from collections import Counter

@@ -92,6 +92,14 @@ def test_packing(spark, group):
                 assert len(pieces[i]) == max(1, -(-n // cap)) and {o.piece_from for o in pieces[i]} == {k * cap for k in range(len(pieces[i]))}
         assert len(pieces[5]) >= 2 and pieces[900][0].n_tokens == 0
     assert {o.budget_id for o in out} == {1, 2}
+    used = {u.budget_id: u for u in packing.usage(spark.createDataFrame(out), [(1, 100), (2, 4096), (None, 5), (3, 0)]).collect()}
+    for b, u in used.items():
+        load = {}
+        for o in out:
+            if o.budget_id == b:
+                load[o.container_id] = load.get(o.container_id, 0) + o.n_tokens
+        assert (u.n_containers, u.fullest, u.least_containers) == (len(load), max(load.values()), -(-sum(load.values()) // u.capacity_tokens))
+        assert abs(u.unused_share - (1 - sum(load.values()) / (u.capacity_tokens * len(load)))) < 1e-12 and u.fullest <= u.capacity_tokens
     assert packing.pack(df.limit(0), "doc_id", "n", [(1, 100)], 0).count() == 0
 
 
