@@ -9,8 +9,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import os
-import tempfile
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
