@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ordered import CHUNK, _same, chunked, previous
 
 #: Intervals of one entity in one map: insertion moves what lies behind it, so maps stay smaller than sorted groups.
@@ -97,7 +98,7 @@ def _stitch(parts: DataFrame, target: int) -> DataFrame:
     inside = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_inside", inside).alias("r").join(news.alias("n"), _same("r", "n", ["entity", CHUNK]))
     islands = rows.groupBy(F.col("r.entity").alias("entity"), (F.col("_inside") + F.col("_first")).alias("_island")).agg(F.min("range_start").alias("range_start"), F.max("range_end").alias("range_end"))
-    both = previous(islands.select("entity", "range_start", "range_end"), ["entity"], ["range_start"], ["range_end"], "_before", target)
+    both = previous(materialise(islands.select("entity", "range_start", "range_end"), "islands"), ["entity"], ["range_start"], ["range_end"], "_before", target)
     period = F.struct(F.lit("period").alias("kind"), "range_start", "range_end")
     gap = F.when(F.col("_before").isNotNull(), F.struct(F.lit("gap").alias("kind"), (F.col("_before.range_end") + 1).alias("range_start"), (F.col("range_start") - 1).alias("range_end")))
     return both.select("entity", F.explode(F.array_compact(F.array(period, gap))).alias("p")).select("entity", "p.*")
@@ -120,5 +121,6 @@ def periods_and_gaps(df: DataFrame, entity: str, start: str, end: str, target: i
         keys = F.broadcast(c.hot)
         on = F.col("entity").eqNullSafe(F.col("_hot_k0"))
         out = _maps(c.rows.join(keys, on, "left_anti"), True).drop(CHUNK)
-        out = out.unionByName(_stitch(_maps(c.rows.join(keys, on, "left_semi"), False).drop("kind"), target))
+        parts = materialise(_maps(c.rows.join(keys, on, "left_semi"), False).drop("kind"), "parts")  # read four times below
+        out = out.unionByName(_stitch(parts, target))
     return out.select(F.col("entity").alias(entity), "kind", "range_start", "range_end")
