@@ -50,6 +50,16 @@ def lm_cv(spark, d):
     return out.select("replicate", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("rsquared", 8).alias("rsquared"))
 
 
+@R.query("""WITH t AS (SELECT l_quantity AS x, l_extendedprice AS y, r::INTEGER AS replicate, (l_orderkey * 7 + l_linenumber + r * 104729) * 2654435761 % 4294967296 // 65536 % 2 AS fold FROM lineitem, range(20) g(r)), f AS (SELECT replicate, regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM t WHERE fold = 0 GROUP BY ALL), c AS (SELECT replicate, corr(x, y) AS r FROM t WHERE fold = 1 GROUP BY ALL)
+SELECT replicate, round(s, 4) AS slope, round(i, 2) AS intercept, round(coalesce(pow(r, 2), 0), 8) AS rsquared FROM f LEFT JOIN c USING (replicate)""")
+def lm_cv_replicates(spark, d):
+    """Twenty replicates, each with a new split of all lines into halves: a line fitted on one, its fit on the other."""
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("r"))
+    split = F.floor((F.col("l_orderkey") * 7 + F.col("l_linenumber") + F.col("r") * 104729) * F.lit(2654435761) % F.lit(4294967296) / 65536) % 2
+    out = S.linear_cv(t, "l_quantity", "l_extendedprice", split, F.col("r"))
+    return out.select("replicate", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), F.round("rsquared", 8).alias("rsquared"))
+
+
 @R.query("""WITH t AS (SELECT o_totalprice AS x, count(*) FILTER (o_orderstatus <> 'F') AS a, count(*) FILTER (o_orderstatus = 'F') AS b FROM orders GROUP BY ALL), c AS (SELECT a, b, sum(a) OVER (ORDER BY x) / sum(a) OVER () - sum(b) OVER (ORDER BY x) / sum(b) OVER () AS diff, sum(a + b) OVER () AS n FROM t)
 SELECT round(max(abs(diff)), 8) AS ks, round(sum(diff * diff * (a + b) / n), 10) AS cvm FROM c""")
 def ks_cvm_statistic(spark, d):

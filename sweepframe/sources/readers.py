@@ -7,6 +7,7 @@ Hadoop's, xz is opened per file. A file that is one object (a tree, a compressed
 from __future__ import annotations
 
 import lzma
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -220,13 +221,62 @@ def write_table(df: DataFrame, path: str, compression: str | None = None) -> Non
     (w.option("compression", compression) if compression else w).csv(path)
 
 
-def write_matrix(df: DataFrame, path: str, i: str = "i", j: str = "j", v: str = "v") -> None:
-    """A symmetric MatrixMarket array of the lower triangle of (i, j, v), '%.6f', as ordered text parts under path.
+def write_matrix(df: DataFrame, path: str, i: str = "i", j: str = "j", v: str = "v", size: int | None = None) -> None:
+    """A symmetric MatrixMarket array of the lower triangle of (i, j, v), counted from 1, '%.6f', as ordered text parts under path.
 
-    Parts are ranges of columns in order: concatenated they are the file.
+    Absent cells are 0; size is the number of rows, the greatest index by default. Parts are ranges of columns in order:
+    concatenated they are the file. Cells are made column by column, so the work is that of the array written.
     """
-    n = df.agg(F.max(i)).first()[0] or 0
-    body_ = df.where(F.col(i) >= F.col(j)).repartitionByRange(F.col(j), F.col(i)).sortWithinPartitions(j, i)
     spark = df.sparkSession
+    n = size if size is not None else df.agg(F.max(F.greatest(i, j))).first()[0] or 0
+    lower = df.where(F.col(i) >= F.col(j)).select(F.col(j).cast("bigint").alias("j"), F.col(i).cast("bigint").alias("i"), F.col(v).cast("double").alias("v"))
+    cells = spark.range(1, n + 1).select(F.col("id").alias("j"), F.explode(F.sequence("id", F.lit(n).cast("bigint"))).alias("i")) if n else spark.createDataFrame([], "j bigint, i bigint")
+    body_ = cells.join(lower, ["j", "i"], "left").repartitionByRange("j", "i").sortWithinPartitions("j", "i")
     head = spark.createDataFrame([("%%MatrixMarket matrix array real symmetric",), (f"{n} {n}",)], "value string").coalesce(1)
-    head.union(body_.select(F.format_string("%.6f", v).alias("value"))).write.text(path)
+    head.union(body_.select(F.format_string("%.6f", F.coalesce("v", F.lit(0.0))).alias("value"))).write.text(path)
+
+
+def write_fasta(df: DataFrame, path: str, id_col: str = "id", t: str = "t", seq: str = "seq") -> None:
+    """FASTA files under path with headers '<id>_<t>', without the '_' part where t is null. Rows without id or sequence are left out."""
+    head = F.concat(F.lit(">"), F.col(id_col).cast("string"), F.when(F.col(t).isNotNull(), F.concat(F.lit("_"), F.col(t).cast("string"))).otherwise(F.lit("")))
+    df.where(F.col(id_col).isNotNull() & F.col(seq).isNotNull()).select(F.concat_ws("\n", head, seq).alias("value")).write.text(path)
+
+
+def newick_texts(nodes: DataFrame) -> DataFrame:
+    """(tree, text) of node tables (tree, node, parent, length, label): one Newick text per tree, children in the order of node.
+
+    A text is one value, so each tree is put together in one task; trees are spread over the tasks. Labels are quoted where
+    they need it; null lengths and labels are left out. A tree with several roots or none has a null text.
+    """
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        kids: dict = {}
+        for i, p in enumerate(pdf["parent"]):
+            kids.setdefault(None if pd.isna(p) else p, []).append(i)
+        names, lengths, labels = pdf["node"].tolist(), pdf["length"].tolist(), pdf["label"].tolist()
+        roots, text = kids.get(None, []), None
+        if len(roots) == 1:
+            parts, open_ = [], [("enter", roots[0])]
+            while open_:
+                what, i = open_.pop()
+                own = kids.get(names[i], []) if what == "enter" else []
+                if own:
+                    parts.append("(")
+                    open_.append(("leave", i))
+                    for k, child in enumerate(reversed(own)):
+                        open_.append(("enter", child))
+                        if k < len(own) - 1:
+                            open_.append(("comma", child))
+                    continue
+                if what == "comma":
+                    parts.append(",")
+                    continue
+                label = labels[i]
+                quoted = "" if label is None or pd.isna(label) else label if re.fullmatch(r"[^\s()\[\]{},:;']+", label) else "'" + label.replace("'", "''") + "'"
+                parts.append((")" if what == "leave" else "") + quoted + ("" if pd.isna(lengths[i]) else f":{lengths[i]!r}"))
+            text = "".join([*parts, ";"])
+        return pd.DataFrame({"tree": pdf["tree"].iloc[:1], "text": [text]})
+
+    rows = nodes.select("tree", "node", "parent", F.col("length").cast("double").alias("length"), F.col("label").cast("string").alias("label"))
+    return rows.groupBy("tree").applyInPandas(one, f"tree {nodes.schema['tree'].dataType.simpleString()}, text string")
