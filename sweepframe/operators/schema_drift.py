@@ -8,8 +8,6 @@ before it in its series.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +18,11 @@ from ..session import broadcast_if_small, materialise
 from ..sources.headers import body, pairs, type_tag, typed_value, unquote
 from .ordered import CHUNK_ROWS, previous
 
+#: The type tags of YAML values, and the one of each kind of parameter.
+TAGS = ("boolean", "float", "integer", "list", "string")
+OWN_TAG = {"integer": "integer", "double": "float", "boolean": "boolean", "text": "string"}
+
+
 def tagged_headers(files: DataFrame, header: str, types: DataFrame, aliases: DataFrame) -> DataFrame:
     """files plus fields: the tagged map of the header, sorted by parameter; null where the header is no complete map.
 
@@ -150,33 +153,45 @@ def unified(files: DataFrame, kinds: dict[str, str], keep: list[str], written: C
     complete header keep their row, with nulls. kinds: parameter -> value_type. written: where values are YAML (quoted,
     lists), all if None.
     """
-    tag_of = {"integer": "integer", "double": "float", "boolean": "boolean", "text": "string"}
     written = F.lit(True) if written is None else written
-    files = materialise(files, "tagged")  # parsed once
-    seen = {(r.parameter, r.tag) for r in alternatives(files).collect()}  # parameters times five tags at most
-
-    def raw(name: str) -> Column:
-        return F.get(F.filter("fields", lambda f: f["parameter"] == name), F.lit(0))["raw"]
-
-    def plain(value: Column) -> Column:
-        return F.when(written, unquote(value)).otherwise(value)
-
-    field = {p: raw(p) for p in kinds}
-    files = staged(files, **{f"_raw_{p}": field[p] for p in kinds})
-    files = staged(files, **{f"_canonical_{p}": F.when(~written | (type_tag(F.col(f"_raw_{p}")) != "list"), parsed(strip(plain(F.col(f"_raw_{p}"))), k)) for p, k in kinds.items()})
-    field, canonical = {p: F.col(f"_raw_{p}") for p in kinds}, {p: F.col(f"_canonical_{p}") for p in kinds}
-    files = materialise(files, "canonical")  # converted once
-    lost = {p: canonical[p].isNull() & field[p].isNotNull() for p in kinds}
-
-    def branch(p: str, t: str) -> Column:
-        value = F.when(written, typed_value(field[p], t)).otherwise(field[p]) if t == "string" else typed_value(field[p], t)
-        return F.when(lost[p] & (type_tag(field[p]) == t), value)
-
-    tags = sorted((p, t) for p, t in seen if p in kinds)
-    files = files.select(*keep, *[f"_raw_{p}" for p in kinds], *[f"_canonical_{p}" for p in kinds], *[branch(p, t).alias(f"{p}__{t}") for p, t in tags])
-    unread = {p: reduce(lambda a, b: a & b, [F.col(f"{q}__{t}").isNull() for q, t in tags if q == p], lost[p] & type_tag(field[p]).isNotNull()) for p in kinds}
-    own = {p: lost[p] & (type_tag(field[p]) == tag_of[k]) for p, k in kinds.items()}
-    some = files.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(f"{n}_{p}") for n, cs in (("own", own), ("unread", unread)) for p, c in cs.items()]).first().asDict() if kinds else {}
-    branches = [F.col(f"{p}__{t}") for p, t in tags if t != tag_of[kinds[p]] or some[f"own_{p}"]]
-    rest = [F.when(unread[p], plain(field[p])).alias(f"{p}__unread") for p in kinds if some[f"unread_{p}"]]
-    return files.select(*keep, *[c.alias(p if p not in keep else f"{p}_value") for p, c in canonical.items()], *branches, *rest)
+    if not kinds:
+        return files.select(*keep)
+    kind_of = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])
+
+    def fields(step) -> Column:
+        return F.transform("_f", lambda f: F.struct(*[e.alias(n) for n, e in step(f).items()]))
+
+    def read(f: Column) -> dict[str, Column]:
+        plain = F.when(written, unquote(f["raw"])).otherwise(f["raw"])
+        return {"parameter": f["parameter"], "raw": f["raw"], "plain": plain, "tag": type_tag(f["raw"]), "kind": kind_of[f["parameter"]]}
+
+    def stripped(f: Column) -> dict[str, Column]:
+        return {**{n: f[n] for n in ("parameter", "raw", "plain", "tag", "kind")}, "v": F.when(~written | (f["tag"] != "list"), strip(f["plain"]))}
+
+    def converted(f: Column) -> dict[str, Column]:
+        return {**{n: f[n] for n in ("parameter", "raw", "plain", "tag", "kind")}, **{k: F.when(f["kind"] == k, parsed(f["v"], k)) for k in OWN_TAG}}
+
+    def branched(f: Column) -> dict[str, Column]:
+        lost = f["raw"].isNotNull() & F.coalesce(*[f[k].cast("string") for k in OWN_TAG]).isNull()
+        branch = {t: F.when(lost & (f["tag"] == t), f["plain"] if t == "string" else typed_value(f["raw"], t)) for t in TAGS}
+        return {"parameter": f["parameter"], "tag": f["tag"], "plain": f["plain"], "lost": lost, **{k: f[k] for k in OWN_TAG}, **{f"as_{t}": c for t, c in branch.items()}}
+
+    def unread(f: Column) -> dict[str, Column]:
+        none = F.coalesce(*[f[f"as_{t}"].cast("string") for t in TAGS]).isNull()
+        return {**{n: f[n] for n in ("parameter", "tag", "lost", *OWN_TAG, *[f"as_{t}" for t in TAGS])}, "unread": F.when(f["lost"] & f["tag"].isNotNull() & none, f["plain"])}
+
+    # each step handles all parameters of a row at once, so the plan doesn't grow with them
+    files = staged(files, _f=F.filter("fields", lambda f: kind_of[f["parameter"]].isNotNull()))
+    for step in (read, stripped, converted, branched, unread):
+        files = staged(files, _f=fields(step))
+    files = materialise(files.select(*keep, "_f"), "unified")
+    each = files.select(F.explode("_f").alias("f")).groupBy("f.parameter", "f.tag").agg(F.bool_or("f.lost").alias("lost"), F.bool_or(F.col("f.unread").isNotNull()).alias("unread"))
+    seen = sorted((r.parameter, r.tag, r.lost, r.unread) for r in each.where("tag is not null").collect())  # parameters times five tags at most
+    branches = [(p, t) for p, t, lost, _ in seen if t != OWN_TAG[kinds[p]] or lost]
+    lists = sorted({p for p, _, _, u in seen if u})
+
+    def value(p: str, field: str) -> Column:
+        return F.get(F.filter("_f", lambda f: f["parameter"] == p), F.lit(0))[field]
+
+    canonical = [value(p, k).alias(p if p not in keep else f"{p}_value") for p, k in kinds.items()]
+    return files.select(*keep, *canonical, *[value(p, f"as_{t}").alias(f"{p}__{t}") for p, t in branches], *[value(p, "unread").alias(f"{p}__unread") for p in lists])
