@@ -80,10 +80,10 @@ def power_law(df: DataFrame, degree: str, xmin: int = 1) -> DataFrame:
 
 
 def _zeta(s: float, q):
-    """The Hurwitz zeta function, by twelve terms and the Euler-Maclaurin rest."""
-    n = 12
+    """The Hurwitz zeta function, by 24 terms and the Euler-Maclaurin rest."""
+    n = 24
     head = sum((q + k) ** -s for k in range(n))
-    return head + (q + n) ** (1 - s) / (s - 1) + (q + n) ** -s / 2 + s * (q + n) ** (-s - 1) / 12
+    return head + (q + n) ** (1 - s) / (s - 1) + (q + n) ** -s / 2 + s * (q + n) ** (-s - 1) / 12 - s * (s + 1) * (s + 2) * (q + n) ** (-s - 3) / 720
 
 
 def power_law_fit(df: DataFrame, degree: str) -> DataFrame:

@@ -322,3 +322,47 @@ def test_many_step_curves(spark):
     df = spark.createDataFrame([(k, x, f) for k, c in curves.items() for x, f in c] + [(None, 0.5, 1.0), ("k0", None, 1.0)], "k string, x double, f double")
     got = {x.k: x.distance for x in trees.step_distance(df, "k", spark.createDataFrame(ref, "x double, f double")).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_power_law_tail(spark):
+    """Degrees drawn from a discrete power law of exponent 2.5 above a disturbed head: the exponent comes back."""
+    r = np.random.default_rng(2)
+    k = np.arange(1, 100_001)
+    w = k**-2.5 / (k**-2.5).sum()
+    degrees = r.choice(k, 20_000, p=w)
+    assert abs(stats._zeta(2.0, 1.0) - np.pi**2 / 6) < 1e-10 and abs(stats._zeta(2.5, 3.0) - (np.arange(3, 3_000_000.0) ** -2.5).sum()) < 1e-8
+    df = spark.createDataFrame([(int(d),) for d in degrees] + [(None,), (0,)], "degree int")
+    got = stats.power_law_fit(df, "degree").first()
+    assert abs(got.gamma - 2.5) < 0.1 and got.n_tail <= 20_000 and got.ks < 0.02 and 0 <= got.p <= 1
+    assert stats.power_law_fit(df.limit(0), "degree").collect() == []
+
+
+def test_set_overlap_and_triangles(spark):
+    r = random.Random(8)
+    sets = {i: {r.randrange(12) for _ in range(r.randint(1, 8))} for i in range(30)}
+    rows = [(i, m) for i, s in sets.items() for m in s]
+    df = spark.createDataFrame(rows + rows[:20] + [(None, 3), (4, None)], "id int, m int")
+    got = {x.query_id: (x.id, x.shared) for x in graphs.best_overlap(df, "id", "m", df.where("id % 3 = 0")).collect()}
+    want = {}
+    for q in range(0, 30, 3):
+        others = [(-len(sets[q] & s) / len(sets[q] | s), i) for i, s in sets.items() if i != q and sets[q] & s]
+        want[q] = (min(others)[1], len(sets[q] & sets[min(others)[1]]))
+    assert got == want
+    edges = {tuple(sorted(r.sample(range(14), 2))) for _ in range(40)}
+    both = spark.createDataFrame([*edges, *[(b, a) for a, b in edges], (3, 3), (None, 1)], "src int, dst int")
+    n = sum((a, b) in edges and (b, c) in edges and (a, c) in edges for a in range(14) for b in range(a + 1, 14) for c in range(b + 1, 14))
+    degree = [sum(v in e for e in edges) for v in range(14)]
+    one = graphs.triangles(both).first()
+    assert one.triangles == n and abs(one.transitivity - 3 * n / sum(d * (d - 1) / 2 for d in degree)) < 1e-12
+    assert graphs.triangles(both.limit(0)).first().triangles == 0
+
+
+def test_newick_writer(spark):
+    from sweepframe.sources import readers
+
+    nodes = [("t", 1, None, None, None), ("t", 2, 1, 0.5, "it's a"), ("t", 3, 1, None, "b"), ("t", 4, 3, 1e-05, "x,y"), ("t", 5, 3, 2.0, None), ("t", 6, 5, 1.0, "z"), ("u", 1, None, 3.0, "only"), ("two", 1, None, 1.0, "a"), ("two", 2, None, 1.0, "b")]
+    df = spark.createDataFrame(nodes, "tree string, node long, parent long, length double, label string")
+    text = {x.tree: x.text for x in readers.newick_texts(df).collect()}
+    assert text["t"] == "('it''s a':0.5,('x,y':1e-05,(z:1.0):2.0)b);" and text["u"] == "only:3.0;" and text["two"] is None
+    back = readers.parse_newick(spark.createDataFrame([("t", text["t"])], "tree string, text string"), "tree", "text").collect()
+    assert sorted((x.label or "", str(x.length)) for x in back) == sorted((n[4] or "", str(n[3])) for n in nodes[:6])
