@@ -209,6 +209,25 @@ def test_zone_estimate(spark):
     assert timestamps.estimate_zones(df.limit(0), df, ["i"], {"g": "study"}, "v", "z", "seen", ["UTC"]).collect() == []
 
 
+def test_zone_estimate_by_sequence(spark, monkeypatch):
+    """Known times delivered just before and just after leave one zone; what is delivered at once has no order. Cut groups give the same."""
+    day = [("a", "2020-06-01T02:30:00Z", "2021-01-01", None), ("a", "2020-06-01 12:00", "2021-01-02", None), ("a", "2020-06-01 05:30", "2021-01-03", "UTC")]
+    once = [("b", "2020-06-01T02:30:00Z", "2021-01-02", None), ("b", "2020-06-01 12:00", "2021-01-02", None), ("b", "2020-06-01 05:30", "2021-01-02", "Mars/Base")]
+    rest = [("c", "1591000000", "2021-01-02", None), ("c", "2020-06-01 05:30 MDT", "2021-01-02", "Asia/Tokyo"), ("c", "2020-06", "2021-01-02", None), ("c", "1 June 2020", None, None), ("c", "ca. 1988", None, None)]
+    twice = [("d", "2020-11-01 01:30", "2021-01-03", None), ("d", "2019-01-01T00:00Z", "2021-01-04", None), ("d", "unknown", "2021-01-04", "America/New_York")]  # a step that every zone puts in the wrong order, also the one that has the time twice
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate([*day, *once, *rest, *twice])], "i int, g string, v string, s string, z string").withColumn("seen", F.col("s").cast("timestamp_ntz"))
+    votes, zones = df.where("g <> 'a'"), ["America/New_York", "Asia/Tokyo", "UTC"]
+    for size in (500_000, 1):
+        monkeypatch.setattr(timestamps.previous, "__defaults__", (*timestamps.previous.__defaults__[:-1], size))
+        got = {r.i: r for r in timestamps.estimate_zones(df, votes, ["i"], {"g": "study"}, "v", "z", "seen", zones).collect()}
+        assert {i: r.zone for i, r in got.items()} == {1: "Asia/Tokyo", 4: None, 5: None, 11: None} and got[1].normal == "2020-06-01T03:00:00.000000Z"
+    whole = {r.i: r for r in timestamps.resolve(df, votes, ["i"], {"g": "study"}, "v", "z", "seen", zones).collect()}
+    stated = {r.i: (r.precision, r.normal) for r in timestamps.normalise(df, "v", "z", ["i"]).collect()}
+    assert sorted(whole) == [*range(10), 11, 12] and {i: (r.precision, r.normal) for i, r in whole.items() if i not in got} == stated
+    assert all((whole[i].precision, whole[i].zone, whole[i].normal) == ("time", got[i].zone, got[i].normal) for i in got)
+    assert [(whole[i].zone, whole[i].basis) for i in (0, 1, 2, 6, 7, 8, 9)] == [(None, "written"), ("Asia/Tokyo", "study"), ("UTC", "declared"), (None, "written"), (None, "written"), (None, None), (None, None)]
+
+
 def test_catalogue_and_headers_in_one_table(spark, names, tmp_path):
     from sweepframe.plans import record_queries
 
